@@ -52,10 +52,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .agg(
             F.min("doc_id").alias("group_id"),
             F.count(F.lit(1)).alias("n_copies"),
-            F.min("canon").alias("lo"),
-            F.max("canon").alias("hi"),
+            F.collect_set("canon").alias("texts"),
         )
-        .select("a", "b", "group_id", "n_copies", (F.col("lo") != F.col("hi")).alias("collided"))
+        .select("a", "b", "group_id", "n_copies", (F.size("texts") > 1).alias("collided"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import fingerprint, mixing, secret_scan, url_filter
+from quizloom.llm import decontaminate, fingerprint, mixing, neardup, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("lang", "n_chars")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
@@ -25,12 +29,17 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(_table(spark, sf_dir, "documents"), buckets)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_mix_sources, op6_url_filter, op7_fingerprint, op10_secret_scan)
+    f.__name__: f
+    for f in (op2_mix_sources, op3_near_duplicates, op6_url_filter, op7_fingerprint, op9_decontaminate, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}
