@@ -130,24 +130,23 @@ def distance(a: Column, b: Column) -> Column:
     return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(2))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two word arrays: a shingle weighs its letters, times its occurrences."""
+def grams(words: Column) -> Column:
+    """The shingles of a word array of WORDS words or more, as texts."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - WORDS + 1), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+
 
-    def grams(words: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(words) - WORDS + 1), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+def similarity(a: Column, b: Column) -> Column:
+    """Weighted Jaccard of two shingle arrays: a shingle weighs its letters, times its occurrences."""
 
     def times(g: Column, s: Column) -> Column:
         return F.size(F.filter(g, lambda x: x == s))
 
-    ga, gb = grams(a), grams(b)
-    zero = F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))
-
     def step(acc: Column, s: Column) -> Column:
-        x, y, w = times(ga, s), times(gb, s), F.length(s)
+        x, y, w = times(a, s), times(b, s), F.length(s)
         return F.struct((acc["low"] + w * F.least(x, y)).alias("low"), (acc["high"] + w * F.greatest(x, y)).alias("high"))
 
-    whole = F.aggregate(F.array_union(ga, gb), zero, step, lambda acc: acc["low"] / acc["high"])
-    return F.when((F.size(a) >= WORDS) & (F.size(b) >= WORDS), whole).otherwise(F.lit(0.0))
+    zero = F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))
+    return F.aggregate(F.array_union(a, b), zero, step, lambda acc: acc["low"] / acc["high"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -181,15 +180,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "text_hash", "start", "len", F.expr("slice(near, start - first + 1, len)").alias("window")
     )
     windows = windows.groupBy("doc_id", "text_hash", "start", "len").agg(F.any_value("window").alias("window"))
-    windows = windows.withColumn("fp", simhash(F.col("window")))
-    prints = items.select("item_id", F.col("words").alias("item"), simhash(F.col("words")).alias("item_fp"))
+    # The shingles are made on either side of the join: a filter on the similarity can't be pushed below it.
+    full = F.size("window") >= WORDS
+    windows = windows.where(full).withColumn("fp", simhash(F.col("window"))).withColumn("mine", grams(F.col("window")))
+    prints = items.select(
+        "item_id", F.size("words").alias("item_len"), simhash(F.col("words")).alias("item_fp"), grams(F.col("words")).alias("theirs")
+    )
     near = windows.withColumn("block", F.explode(_blocks(F.col("fp")))).join(
         prints.withColumn("block", F.explode(_blocks(F.col("item_fp")))), "block"
     )
     near = near.withColumn("distance", distance(F.col("fp"), F.col("item_fp"))).where(
-        (F.col("distance") <= RADIUS) & (F.col("len") == F.size("item"))
+        (F.col("distance") <= RADIUS) & (F.col("len") == F.col("item_len"))
     )
-    alike = near.withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= SIMILARITY)
+    alike = near.withColumn("similarity", similarity(F.col("mine"), F.col("theirs"))).where(F.col("similarity") >= SIMILARITY)
     best = F.max_by(F.struct("start", "distance", "similarity"), F.struct("similarity", -F.col("start")))
     return alike.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
 
@@ -198,4 +201,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().persist()
     bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")

@@ -65,23 +65,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, budget: int | None)
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """docs, each row as often as it was drawn, with copy (from 0) and shuffle_key, in a globally shuffled order."""
-    docs = docs.drop("copy", "shuffle_key")
+    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     table = rates(docs, weights, budget).select("_source", "cdf").persist()
-    same = docs["source"].eqNullSafe(table["_source"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), "source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
     if table.count() <= MAX_BROADCAST_SOURCES:
-        rows = docs.join(F.broadcast(table), same)
+        rows = rows.join(F.broadcast(table), same)
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = docs.withColumn("_salt", salt)
-        rows = rows.join(salted, rows["source"].eqNullSafe(salted["_source"]) & (rows["_salt"] == salted["_salt"]))
-        rows = rows.drop("_salt")
-    u = uniform(str(seed), F.col("doc_id"))
+        rows = rows.join(salted, same & (F.col("salt") == F.col("_salt")))
     # Smallest k with P(count <= k) > u; the array ends where the rest is below rounding.
-    draws = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    rows = rows.withColumn("_u", u).withColumn("_draws", draws)
-    rows = rows.where(F.col("_draws") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)))
-    rows = rows.withColumn("shuffle_key", uniform(str(seed), F.col("doc_id"), F.col("copy")))
-    rows = rows.drop("_source", "cdf", "_u", "_draws")
+    u = uniform(str(seed), F.col("id"))
+    rows = rows.withColumn("u", u).withColumn("draws", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
+    rows = rows.where("draws > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("copy"))
+    rows = rows.select("row.*", "copy", uniform(str(seed), F.col("id"), F.col("copy")).alias("shuffle_key"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
