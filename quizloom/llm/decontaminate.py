@@ -7,7 +7,7 @@ it.  Words are runs of letters and digits, lower-cased.
 1. A window can only pass if it shares a shingle with the item, so windows are
    taken where a shingle of the document is one of the benchmark's, aligned on it.
    A Bloom filter of the benchmark's shingles, a literal of the plan whose size is
-   bounded by ``FILTER_BITS``, leaves few positions inside each row; an equi-join on
+   bounded by ``bits.MOST``, leaves few positions inside each row; an equi-join on
    the shingle then leaves the real ones.
 2. Windows and items get 128-bit SimHashes of their words.  Fingerprints within
    ``RADIUS`` = 15 bits agree on one of 16 blocks of 8 bits at least, so an equi-join
@@ -28,13 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizloom.llm import bits
+
 WORDS = 5
 SIMILARITY = 0.75
 BLOCKS, BLOCK_BITS = 16, 8
 RADIUS = BLOCKS - 1
-#: Bits of the shingle filter: 32 a shingle, this many at most (8 MB; beyond two million shingles it lets more through).
-FILTER_BITS = 1 << 26
-PROBES = 4
 #: Contaminated documents are broadcast up to this many, and joined by shuffle beyond.
 MAX_BROADCAST = 500_000
 
@@ -61,47 +60,6 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.where((F.size("words") >= WORDS) & F.col("item_id").isNotNull()).distinct()
 
 
-def _filter_of(shingles: DataFrame) -> tuple[Column, int]:
-    """A bit table of the shingles as a foldable array of longs, and its number of longs.
-
-    The driver gets one long for each 64 bits of the table, whatever the benchmark holds.
-    """
-    n = max(1, shingles.count())
-    bits = 64
-    while bits < min(32 * n, FILTER_BITS):
-        bits *= 2
-    probes = F.array(*[_probe(F.col("h"), k, bits // 64) for k in range(PROBES)])
-    set_bits = shingles.select(F.explode(probes).alias("p")).select("p.cell", _bit(F.col("p.bit")).alias("b"))
-    cells = {r["cell"]: r["b"] for r in set_bits.groupBy("cell").agg(F.bit_or("b").alias("b")).collect()}
-    table = ",".join(str(cells.get(i, 0)) for i in range(bits // 64))
-    return F.split(F.lit(table), ",").cast("array<bigint>"), bits // 64
-
-
-def _bit(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
-
-
-def _probe(h: Column, k: int, cells: int) -> Column:
-    """Cell and bit of the k-th probe: 26 bits from 13 * k on."""
-    part = F.shiftrightunsigned(h, 13 * k)
-    return F.struct(
-        F.shiftrightunsigned(part, 6).bitwiseAND(F.lit(cells - 1).cast("bigint")).cast("int").alias("cell"),
-        part.bitwiseAND(F.lit(63).cast("bigint")).cast("int").alias("bit"),
-    )
-
-
-def _maybe(h: Column, table: Column, cells: int) -> Column:
-    hit = F.lit(True)
-    for k in range(PROBES):
-        part = F.shiftrightunsigned(h, 13 * k)
-        cell = F.shiftrightunsigned(part, 6).bitwiseAND(F.lit(cells - 1).cast("bigint")).cast("int")
-        value = F.get(table, cell)
-        bit = part.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
-        one = _bit(bit)
-        hit = (value.bitwiseAND(one) != 0) if k == 0 else hit & (value.bitwiseAND(one) != 0)
-    return hit
-
-
 def simhash(words: Column) -> Column:
     """Two longs; bit b is set where more than half of the words have bit b in their hash."""
 
@@ -110,7 +68,7 @@ def simhash(words: Column) -> Column:
 
         def bit(b: Column) -> Column:
             ones = F.aggregate(hashed, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int"))
-            return F.when(2 * ones > F.size(words), _bit(b)).otherwise(F.lit(0).cast("bigint"))
+            return F.when(2 * ones > F.size(words), bits.one(b)).otherwise(F.lit(0).cast("bigint"))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(bit(b)))
 
@@ -153,12 +111,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document text and item that it holds: doc_id, text_hash, item_id, start (word, from 0), distance, similarity."""
     items = benchmark_items(benchmark).persist()
     places = items.select("item_id", F.size("words").alias("len"), F.posexplode(_shingles(F.col("words"))).alias("at", "h"))
-    table, cells = _filter_of(places.select("h").distinct())
+    maybe = bits.table_of(places.select("h").distinct(), "h")
     longest = items.agg(F.max(F.size("words"))).first()[0] or WORDS
 
     rows = docs.select("doc_id", "text", normal_words(F.col("text")).alias("words"))
     words = F.col("words")
-    found = F.transform(F.col("hashes"), lambda h, i: F.when(_maybe(h, table, cells), i))
+    found = F.transform(F.col("hashes"), lambda h, i: F.when(maybe(h), i))
     rows = rows.withColumn("hashes", _shingles(words)).withColumn("hits", F.filter(found, lambda i: i.isNotNull()))
 
     def around(i: Column) -> Column:
