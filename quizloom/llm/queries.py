@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import decontaminate, fingerprint, mixing, neardup, secret_scan, substring, url_filter
+from quizloom.llm import decontaminate, fingerprint, mixing, neardup, secret_scan, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("lang", "n_chars")
 
@@ -44,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op6_url_filter, op7_fingerprint, op9_decontaminate, op10_secret_scan,
+        op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op6_url_filter, op7_fingerprint, op9_decontaminate, op10_secret_scan,
     )
 }
 

@@ -19,6 +19,8 @@ RUN_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ASIS = np.arange(256, dtype=np.uint8)
@@ -55,19 +57,31 @@ class Run:
     start: np.ndarray  # of words in data
     stop: np.ndarray
     first: np.ndarray  # hi - lo + 1 offsets: words first[i]..first[i + 1] belong to row lo + i
+    offsets: np.ndarray  # of the rows in data
+    _sums: np.ndarray | None = None
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, stop: np.ndarray | None = None) -> np.ndarray:
+        """Of the words, or of what they begin with where stop is given."""
         n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * _power("up", n), out=sums[1:])
-        return mix((sums[self.stop] - sums[self.start]) * _power("down", n + 1)[self.start])
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_TABLE[self.data] * _power("up", n), out=self._sums[1:])
+        ends = self._sums[self.stop if stop is None else stop]
+        return mix((ends - self._sums[self.start]) * _power("down", n + 1)[self.start])
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first))
 
 
-def runs(texts: pa.Array, lower: bool, limit: int = RUN_BYTES) -> Iterator[Run]:
-    """texts: a string array; null counts as empty."""
+def _small_latin(data: np.ndarray) -> np.ndarray:
+    """Lower-cases the letters of two bytes that begin with 0xC3."""
+    capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    data[1:][capital] += 32
+    return data
+
+
+def runs(texts: pa.Array, lower: bool, limit: int = RUN_BYTES, letters: bool = False) -> Iterator[Run]:
+    """texts: a string array; null counts as empty.  letters: words are runs of letters, and Latin capitals go too."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -80,12 +94,14 @@ def runs(texts: pa.Array, lower: bool, limit: int = RUN_BYTES) -> Iterator[Run]:
         hi = min(hi, len(texts))
         data = (_LOWER if lower else _ASIS)[whole[offsets[lo] : offsets[hi]]]
         at = offsets[lo : hi + 1] - offsets[lo]
-        yield _split(lo, hi, data, at)
+        if letters and lower:
+            data = _small_latin(data)
+        yield _split(lo, hi, data, at, _NO_LETTER if letters else _SPACE)
         lo = hi
 
 
-def _split(lo: int, hi: int, data: np.ndarray, at: np.ndarray) -> Run:
-    word = ~_SPACE[data]
+def _split(lo: int, hi: int, data: np.ndarray, at: np.ndarray, space: np.ndarray) -> Run:
+    word = ~space[data]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
@@ -94,7 +110,7 @@ def _split(lo: int, hi: int, data: np.ndarray, at: np.ndarray) -> Run:
     begins[heads] = word[heads]
     ends[tails] = word[tails]
     start = np.flatnonzero(begins)
-    return Run(lo, hi, data, start, np.flatnonzero(ends) + 1, np.searchsorted(start, at))
+    return Run(lo, hi, data, start, np.flatnonzero(ends) + 1, np.searchsorted(start, at), at)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
