@@ -74,22 +74,23 @@ class Model:
     weights: np.ndarray
     edges: list[np.ndarray]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # feature and bin of each split, values of the leaves
-    base: float
+    base: float  # margin of the first tree; without trees the rate of toxic rows
     knots: np.ndarray  # margins and their calibrated rates
     rates: np.ndarray
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        binned = np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), int)
+        binned = np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1)
         out = np.full(len(x), self.base)
         for tree in self.trees:
             out += tree[2][_leaf(tree, binned)]
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.trees:  # base is the rate then
+            return np.full(len(x), self.base)
         m = self.margin(x)
-        calibrated = np.interp(m, self.knots, self.rates) if len(self.knots) else np.full(len(m), max(0.0, self.base))
-        # A small share of the margin keeps the order inside the steps.
-        return np.clip(0.98 * calibrated + 0.02 / (1 + np.exp(-m)), 0, 1) if len(self.trees) else np.clip(calibrated, 0, 1)
+        # A small share of the margin keeps the order inside the calibration's steps.
+        return np.clip(0.98 * np.interp(m, self.knots, self.rates) + 0.02 / (1 + np.exp(-m)), 0, 1)
 
 
 def _leaf(tree, binned: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def features(texts: pa.Array, model: Model) -> np.ndarray:
             out.append(
                 [
                     hit[a:b].sum() / n, np.log1p(hit[a:b].sum()), w.sum() / n, top[0], top[1], top.mean(), (w > 1.5).sum() / n,
-                    np.log1p((w > 2.5).sum()), to.sum() / n, (bad & reach).sum() / n, np.log1p(n), *_rates(asis.data, lo, hi),
+                    np.log1p((w > 2.5).sum()), to.sum() / n, (bad & reach).sum() / n, np.log1p(b - a), *_rates(asis.data, lo, hi),
                 ]
             )
     return np.array(out, np.float64).reshape(-1, 15)
@@ -183,13 +184,14 @@ def _grow(binned: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, n_bins:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y over x, by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
+    at, which = np.unique(x, return_inverse=True)  # rows with one x are one point
+    sums, counts = np.bincount(which, y), np.bincount(which)
     pools: list[list[float]] = []  # sum, count, first x, last x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1, a, a])
-        while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
-            s, n, _, last = pools.pop()
-            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], last]
+    for x0, total, n in zip(at.tolist(), sums.tolist(), counts.tolist(), strict=True):
+        pools.append([total, n, x0, x0])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            total, n, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n, pools[-1][2], last]
     knots = [(p[k], p[0] / p[1]) for p in pools for k in (2, 3)]
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
