@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import decontaminate, fingerprint, mixing, neardup, secret_scan, substring, toxicity, url_filter
+from quizloom.llm import decontaminate, fingerprint, langid, mixing, neardup, secret_scan, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
@@ -49,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op6_url_filter, op7_fingerprint, op9_decontaminate, op10_secret_scan,
+        op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op5_language, op6_url_filter, op7_fingerprint, op9_decontaminate, op10_secret_scan,
     )
 }
 

@@ -73,6 +73,10 @@ class Run:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first))
 
 
+def no_letter(data: np.ndarray) -> np.ndarray:
+    return _NO_LETTER[data]
+
+
 def _small_latin(data: np.ndarray) -> np.ndarray:
     """Lower-cases the letters of two bytes that begin with 0xC3."""
     capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
