@@ -1,6 +1,6 @@
 """Bloom filters of 64-bit hashes as bounded literals of the plan.
 
-A table has 32 bits for each hash, and ``MOST`` bits at most, whatever the number of
+A table has ``per_hash`` bits for each hash, and ``MOST`` bits at most, whatever the number of
 hashes: beyond that it lets more through, and never holds anything back.  What it
 lets through is always decided by a join.
 """
@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 8 MB.
-MOST = 1 << 26
+#: 1 MB.
+MOST = 1 << 23
 PROBES = 4
 
 
@@ -29,14 +29,14 @@ def _place(h: Column, probe: int, cells: int) -> tuple[Column, Column]:
     return cell, part.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
 
 
-def table_of(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
+def table_of(hashes: DataFrame, column: str, per_hash: int = 32) -> Callable[[Column], Column]:
     """A function from a hash column to whether it may be one of hashes (a frame of distinct, well-mixed longs).
 
     The bits are combined on the executors; the driver gets one long for each 64 bits of the table.
     """
     n = max(1, hashes.count())
     size = 64
-    while size < min(32 * n, MOST):
+    while size < min(per_hash * n, MOST):
         size *= 2
     cells = size // 64
     places = F.array(*[F.struct(*[c.alias(k) for c, k in zip(_place(F.col(column), i, cells), ("cell", "bit"), strict=True)]) for i in range(PROBES)])

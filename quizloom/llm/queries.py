@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import decontaminate, fingerprint, langid, mixing, neardup, secret_scan, substring, toxicity, url_filter
+from quizloom.llm import decontaminate, fingerprint, langid, lm, mixing, neardup, secret_scan, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(_table(spark, sf_dir, "documents"), buckets)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op5_language, op6_url_filter, op7_fingerprint, op9_decontaminate, op10_secret_scan,
+        op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op5_language, op6_url_filter, op7_fingerprint, op8_lm_score, op9_decontaminate, op10_secret_scan,
     )
 }
 
