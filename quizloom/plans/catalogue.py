@@ -1,4 +1,447 @@
 """Queries by name, and SQL for those that SQL can express."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quizloom.functions import ocr
+from quizloom.functions import text as T
+from quizloom.functions import values as V
+from quizloom.operators import build, chunks, questions, scoring, tasks
+from quizloom.plans.fixtures import SCORES_SQL, items, records, responses, table
+from quizloom.sources import files, sinks
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score_records(items(spark, sf), responses(spark, sf))
+
+
+def rounded(x: str) -> str:
+    return f"cast(format('{{:.2f}}', {x}) as double)"
+
+
+MEANS = ", ".join(f"avg(case when category = '{c}' then score end) as {c}_a, count(case when category = '{c}' then 1 end) as {c}_n" for c in V.CATEGORIES)
+MACRO = "list_avg(list_filter([MCQ_a, SAQ_a, CBQ_a], lambda x: x is not null))"
+COLUMNS = ", ".join(f"{rounded(c + '_a')} as {c}_score, {c}_n" for c in V.CATEGORIES)
+
+
+def report_sql(keys: str, group: str | None = None, extra: str = "") -> str:
+    inner = f"select {keys}, {MEANS}, avg(score) as mi, count(score) as n{extra} from facts group by {group or keys}"
+    names = keys + (", grouping_no as grouping" if extra else "")
+    return f"{SCORES_SQL} select {names}, {COLUMNS}, {rounded(MACRO)} as macro_average_score, {rounded('mi')} as micro_average_score, n from ({inner}) z"
+
+
+DISC = "model, dental_discipline_number, dental_discipline"
+
+
+@query(SCORES_SQL + "select * from facts")
+def score_records(spark, sf):
+    return facts(spark, sf)
+
+
+@query(report_sql("model"))
+def score_overall(spark, sf):
+    return scoring.in_report_order(scoring.report(facts(spark, sf), ["model"]), ["model"])
+
+
+@query(report_sql("model, reasoning_level"))
+def score_by_level(spark, sf):
+    keys = ["model", "reasoning_level"]
+    return scoring.in_report_order(scoring.report(facts(spark, sf), keys), keys)
+
+
+@query(report_sql(DISC))
+def score_by_discipline(spark, sf):
+    keys = DISC.split(", ")
+    return scoring.in_report_order(scoring.report(facts(spark, sf), keys), keys)
+
+
+_ALL = "model, reasoning_level, dental_discipline_number, dental_discipline"
+
+
+@query(report_sql(_ALL, f"grouping sets ((model), (model, reasoning_level), ({DISC}))", f", cast(grouping({_ALL}) as bigint) as grouping_no"))
+def score_grouping_sets(spark, sf):
+    return scoring.all_reports(facts(spark, sf))
+
+
+_RISK = ", ".join(
+    f"count(case when risk_level = '{r}' then 1 end) as {r}_n, " + rounded(f"100.0 * count(case when risk_level = '{r}' then 1 end) / count(*)") + f" as {r}_percent"
+    for r in V.RISKS
+)
+
+
+def risk_records(spark, sf):
+    return responses(spark, sf).where("category = 'CBQ'").select("model", "item_index", T.risk_level(F.col("risk")).alias("risk_level"))
+
+
+@query(SCORES_SQL + f"select model, count(*) as n, count(case when risk_level <> '' then 1 end) as scored_n, {_RISK} from risk_records group by model having count(case when risk_level <> '' then 1 end) > 0")
+def risk_distribution(spark, sf):
+    return scoring.risk_distribution(risk_records(spark, sf)).orderBy("model")
+
+
+@query(SCORES_SQL + "select distinct model from facts order by model")
+def discover_models(spark, sf):
+    return scoring.models_of(responses(spark, sf))
+
+
+@query(SCORES_SQL + "select category, item_index, m.model from (select distinct category, item_index from facts) i cross join (values ('m0'), ('m2'), ('m9')) m(model) where not (m.model in ('m0', 'm2') and item_index % 2 = 0)")
+def pending_eval(spark, sf):
+    return tasks.pending_evaluations(items(spark, sf), ["m0", "m2", "m9"], responses(spark, sf).where("item_index % 2 = 0"))
+
+
+@query(SCORES_SQL + "select item_index, model from risk_records where model in ('m0', 'm1') and risk_level = ''")
+def pending_risk(spark, sf):
+    return tasks.pending_risks(responses(spark, sf), ["m0", "m1"])
+
+
+RECORDS_SQL = """with r as (select d.doc_id as i, l.quality as q, l.toxic as t,
+  case when d.doc_id % 17 = 0 then 'Essay' when d.doc_id % 3 = 0 then 'MCQ' when d.doc_id % 3 = 1 then 'SAQ' else 'CaseReport' end as kind
+  from documents d join labels l on d.doc_id = l.doc_id),
+g as (select *, case when i % 11 = 0 or i % 13 = 0 then 'failed_record'
+  when kind = 'MCQ' and (i % 7 = 0 or i % 5 = 0 or q = 0) then 'incomplete_mcq' when kind = 'SAQ' and (i % 7 = 0 or q = 0) then 'incomplete_saq'
+  when kind in ('MCQ', 'SAQ') then 'passed' when kind = 'CaseReport' and (i % 7 = 0 or i % 5 = 1) then 'incomplete_case_report'
+  when kind = 'CaseReport' and i % 4 = 2 then 'missing_case_process' when kind = 'CaseReport' and i % 4 = 3 then 'invalid_case_process'
+  when kind = 'CaseReport' and t <> 0 then 'validation_not_passed' when kind = 'CaseReport' then 'passed' else concat('unsupported_type:', kind) end as reason,
+  case kind when 'CaseReport' then 'CBQ' when 'Essay' then '' else kind end as category from r) """
+
+
+@query(RECORDS_SQL + "select category, i as item_index, kind from g where reason = 'passed'")
+def build_kept(spark, sf):
+    return build.build(records(spark, sf)).select("category", "item_index", "kind")
+
+
+@query(RECORDS_SQL + "select category, reason, count(*) as n from g group by all")
+def skip_reasons(spark, sf):
+    return build.reasons(records(spark, sf))
+
+
+@query("""select item_id as id, case when item_id % 3 = 0 then concat('case_', item_id % 20, '.json') when item_id % 3 = 1 then concat('doc', item_id, '_x.json') end as file from benchmark""")
+def case_sidecar_match(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    cases = b.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), F.col("id") % 20)).otherwise("none").alias("seed"),
+                     F.when(F.col("id") % 3 == 1, F.concat(F.lit(" doc"), F.col("id"))).alias("source"))
+    by_seed = b.where("id < 20").select(F.concat(F.lit("case_"), "id", F.lit(".json")).alias("file"), F.concat(F.lit("s"), "id").alias("seed"))
+    by_name = b.select(F.concat(F.lit("doc"), "id", F.lit("_x.json")).alias("file"), F.lit("other").alias("seed"))
+    return build.match_sidecars(cases, by_seed.unionByName(by_name))
+
+
+@query("select user_id, event_id, event_type, value, min(event_id) over (partition by user_id) as position from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def summary_upsert(spark, sf):
+    return tasks.upsert(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id")
+
+
+@query("select doc_id, source, quality, toxic from (select d.doc_id, source, quality, toxic, row_number() over (partition by source order by quality desc, toxic desc, d.doc_id) as n from documents d join labels l on d.doc_id = l.doc_id) z where n = 1")
+def best_candidate(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
+    return questions.best_candidate(rows, "source", "quality", "toxic", "doc_id")
+
+
+_Q = r"regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
+
+
+@query(f"select doc_id, md5(text) as text_md5 from documents where {_Q} <> '' qualify row_number() over (partition by lang, {_Q} order by doc_id) = 1")
+def dedup_first(spark, sf):
+    return questions.dedup_first(table(spark, sf, "documents"), ["lang"], "text", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _mapped(name: str, column, sql: str) -> None:
+    def run(spark, sf):
+        return table(spark, sf, "documents").select("doc_id", column(F.col("text")).alias("v"))
+
+    QUERIES[name], ORACLES[name] = run, f"select doc_id, {sql} as v from documents"
+
+
+_CLEAN = r"regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_mapped("clean_text", lambda c: F.md5(T.clean_text(c)), rf"md5(regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g'))")
+_mapped("normalize_text", lambda c: F.md5(T.normalize_text(c)), r"md5(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'))")
+_mapped("normalize_heading", lambda c: F.md5(T.normalize_heading(c)), r"md5(regexp_replace(lower(text), '[^a-z0-9\x{4e00}-\x{9fff}]+', '', 'g'))")
+_W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+_mapped("word_tokens", lambda c: T.word_count(c).cast("bigint"), f"cast(len({_W}) as bigint)")
+_mapped("truncate_words", lambda c: F.md5(T.truncate_words(c, V.METADATA_WORDS)), f"md5(case when len({_W}) <= 4096 then text else array_to_string({_W}[1:4096], ' ') end)")
+_mapped("truncate_text", lambda c: T.truncate_chars(c, 40), "case when length(text) <= 40 then text else substr(text, 1, 37) || '...' end")
+_TYPES = (("CaseReport", ("thing", "nicht")), ("MCQ", ("ción", "queue")), ("SAQ", ("the",)))
+_mapped("doc_type", lambda c: T.fallback_type(c, _TYPES), "case when contains(s, 'thing') or contains(s, 'nicht') then 'CaseReport' when contains(s, 'ción') or contains(s, 'queue') then 'MCQ' when contains(s, 'the') then 'SAQ' else '' end")
+ORACLES["doc_type"] = ORACLES["doc_type"].replace("from documents", "from (select doc_id, lower(substr(text, 1, 12000)) as s from documents) z")
+_GROUPS = ((12, ("oft", "über")), (3, ("que",)), (5, ("idiot", "ing")))
+_mapped("discipline_keywords", lambda c: T.discipline_number(c, _GROUPS).cast("bigint"), "cast(case when contains(lower(text), 'oft') or contains(lower(text), 'über') then 12 when contains(lower(text), 'que') then 3 when contains(lower(text), 'idiot') or contains(lower(text), 'ing') then 5 else 0 end as bigint)")
+_mapped("reasoning_keywords", lambda c: T.reasoning_level(c, (("L3", ("tion",)), ("L2", ("keit", "ment")))), "case when contains(lower(text), 'tion') then 'L3' when contains(lower(text), 'keit') or contains(lower(text), 'ment') then 'L2' else 'L1' end")
+_mapped("default_keywords", lambda c: F.concat_ws("|", T.discipline_number(c).cast("string"), T.reasoning_level(c), T.fallback_type(c)), "concat_ws('|', cast(" + "case " + " ".join("when " + " or ".join(f"contains(lower(text), '{k}')" for k in ks) + f" then {n}" for n, ks in V.DISCIPLINE_KEYWORDS) + " else 0 end as varchar), case " + " ".join("when " + " or ".join(f"contains(lower(text), '{k}')" for k in ks) + f" then '{n}'" for n, ks in V.LEVEL_KEYWORDS) + " else 'L1' end, case " + " ".join("when " + " or ".join(f"contains(lower(substr(text, 1, 12000)), '{k}')" for k in ks) + f" then '{n}'" for n, ks in V.TYPE_PHRASES) + " else '' end)")
+_mapped("queue_id", lambda c: F.md5(c), "md5(text)")
+
+
+@query(rf"""with w as (select doc_id, {_W} as w from documents),
+n as (select doc_id, w, len(w) as n from w where len(w) > 0),
+c as (select doc_id, w, n, unnest(generate_series(0, greatest(0, cast(ceil((n - 512) / 416.0) as integer)))) as k from n)
+select doc_id, cast(k as integer) as chunk_index, cast(k * 416 as integer) as token_start, cast(least(n, k * 416 + 512) as integer) as token_end,
+md5(array_to_string(w[k * 416 + 1 : k * 416 + 512], ' ')) as text_md5 from c""")
+def chunk_windows(spark, sf):
+    return chunks.windows(table(spark, sf, "documents"), "doc_id", 512, 96).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query()
+def tokenizer_windows(spark, sf):
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return chunks.tokenizer_windows(docs, "doc_id", public_tokenizers.path("byte_bpe_50k.json"), 512, 96)
+
+
+@query()
+def pack_units(spark, sf):
+    return chunks.pack(table(spark, sf, "documents"), "doc_id", 512, 96)
+
+
+MD = "concat('intro ', conv_id, chr(10), '# First *', conv_id, '*', chr(10), text, chr(10), '## Second part', chr(10), 'b', chr(10), '#none')"
+
+
+def _markdown(spark, sf):
+    rows = table(spark, sf, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
+    return rows.select("conv_id", F.expr(MD.replace("chr(10)", "'\\n'")).alias("text"))
+
+
+@query(f"""with m as (select conv_id, min(text) as text from conversations where turn = 0 group by conv_id)
+select conv_id, 0 as ordinal, 'Preamble' as title, 0 as level, md5(concat('intro ', conv_id)) as text_md5 from m
+union all select conv_id, 1, concat('First *', conv_id, '*'), 1, md5(regexp_replace(concat('# First *', conv_id, '*', chr(10), text), '\\s+$', '')) from m
+union all select conv_id, 2, 'Second part', 2, md5(concat('## Second part', chr(10), 'b', chr(10), '#none')) from m""")
+def markdown_sections(spark, sf):
+    return chunks.sections(_markdown(spark, sf), "conv_id").withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query("""with m as (select distinct conv_id from conversations where turn = 0)
+select conv_id, 'section' as segment_type, case when conv_id % 3 = 0 then concat('First *', conv_id, '*') else 'Second part' end as title from m where conv_id % 3 < 2
+union all select conv_id, case when conv_id % 2 = 0 then 'read_chunk' else 'full_document' end, case when conv_id % 2 = 0 then 'Structure chunk 1' else 'Full Document' end from m where conv_id % 3 = 2""")
+def segment_match(spark, sf):
+    docs = _markdown(spark, sf)
+    wanted = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("FIRST "), F.col("conv_id"))).when(F.col("conv_id") % 3 == 1, "part").otherwise("--")
+    found = chunks.matched_sections(chunks.sections(docs, "conv_id"), docs.select("conv_id", wanted.alias("title")), "conv_id")
+    reports = docs.select("conv_id", F.lit(0).alias("chunk_index"), (F.col("conv_id") % 2 == 0).alias("recommended"), "text")
+    return chunks.segments(docs, found, reports, "conv_id").drop("text")
+
+
+@query(r"select page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) as title from pages")
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", files.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_to_markdown(spark, sf):
+    return files.html_markdown(table(spark, sf, "pages"), "page_id", "html", T.file_stem(F.col("url")))
+
+
+@query()
+def xml_to_markdown(spark, sf):
+    rows = table(spark, sf, "conversations").where("turn = 0")
+    body = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return files.xml_markdown(rows.select("conv_id", F.concat(F.lit("<a><b>"), body, F.lit("</b><c/></a>")).alias("xml")), "conv_id", "xml")
+
+
+@query("select nation_row as line, text from (select n_nationkey as nation_row, concat('| ', n_nationkey, ' | ', n_name, ' |') as text from nation) z union all values (-4, '# Nations'), (-3, ''), (-2, '| n_nationkey | n_name |'), (-1, '| --- | --- |')")
+def table_markdown(spark, sf):
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name").coalesce(1).orderBy("n_nationkey").coalesce(1)
+    return files.table_markdown(rows, "Nations").select(F.col("line").cast("int").alias("line"), "text")
+
+
+def _values(spark, name: str, kind: str, rows: list) -> DataFrame:
+    return spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"i int, {name} {kind}")
+
+
+def _list(rows: list) -> str:
+    return ", ".join(f"({i}, " + ("null" if x is None else "'" + str(x).replace("'", "''") + "'") + ")" for i, x in enumerate(rows))
+
+
+LETTERS = ["I think A", "Option (c)", "b.", "answer: D", "Request failed: 401", "1", "x_A", "A-1", None, "", "  e "]
+
+
+@query(rf"""with v as (select * from (values {_list(LETTERS)}) t(i, x)), u as (select i, upper(trim(coalesce(x, ''))) as u from v)
+select i, case when regexp_matches(u, '\b[A-Z]\b') then regexp_extract(u, '\b([A-Z])\b', 1) else substr(u, 1, 1) end as letter from u
+union all select cast(1000 + conv_id * 100 + turn as integer), case when regexp_matches(upper(text), '\b[A-Z]\b') then regexp_extract(upper(text), '\b([A-Z])\b', 1) else substr(upper(text), 1, 1) end
+from conversations where regexp_matches(text, '^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$')""")
+def option_letter(spark, sf):
+    some = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$"))
+    some = some.select((1000 + F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("i"), F.col("text").alias("x"))
+    return _values(spark, "x", "string", LETTERS).unionByName(some).select("i", T.option_letter(F.col("x")).alias("letter"))
+
+
+RISK_TEXTS = ["0", "1", "2", "3", "4", "s2", "Level S1.", "risk 3", "S3", "S2/S1", None, "", "True", "S0", "12", "1.0"]
+
+
+@query(rf"""with v as (select * from (values {_list(RISK_TEXTS)}) t(i, x)), u as (select i, upper(trim(coalesce(x, ''))) as u from v)
+select i, case when u in ('S0', 'S1', 'S2') then u when u in ('0', '1') then 'S0' when u = '2' then 'S1' when u = '3' then 'S2'
+when regexp_matches(u, '\bS[012]\b') then concat('S', regexp_extract(u, '\bS([012])\b', 1))
+when regexp_matches(u, '\b[123]\b') then concat('S', cast(regexp_extract(u, '\b([123])\b', 1) as integer) - 1) else '' end as risk from u""")
+def risk_level_norm(spark, sf):
+    return _values(spark, "x", "string", RISK_TEXTS).select("i", T.risk_level(F.col("x")).alias("risk"))
+
+
+FLAGS = ["true", "1", " YES ", "correct", "hit", "1.0", "2", "no", "", None, "Hit "]
+
+
+@query(f"with v as (select * from (values {_list(FLAGS)}) t(i, x)) select i, coalesce(lower(trim(x)) in ('1', 'true', 'yes', 'correct'), false) as positive, coalesce(lower(trim(x)) in ('1', 'true', 'yes', 'correct', 'hit'), false) as hit from v")
+def judge_flags(spark, sf):
+    x = F.col("x")
+    return _values(spark, "x", "string", FLAGS).select("i", scoring.positive(x).alias("positive"), scoring.hit(x).alias("hit"))
+
+
+TAGS = ["8\nL2", "14\nL3", "L2\n8", "15\nL1", "Dental discipline: 3 of 14", "None L3", "12. Orthodontics", "it is oral implantology, l1", "", None, "nothing said"]
+
+
+@query(f"select t.i, number, coalesce(name, '') as name, level from (values {', '.join(f'({i}, {n}, {chr(39)}{lv}{chr(39)})' for i, (n, lv) in enumerate([(8, 'L2'), (14, 'L3'), (8, 'L2'), (10, 'L1'), (3, 'L2'), (10, 'L3'), (12, 'L2'), (10, 'L1'), (10, 'L2'), (10, 'L2'), (10, 'L2')]))}) t(i, number, level) left join (values {', '.join(f'({n}, {chr(39)}{x}{chr(39)})' for n, x in V.DISCIPLINES.items())}) d(n, name) on n = number")
+def tags_parse(spark, sf):
+    tags = T.parse_tags(F.col("x"), F.lit("Peri-implant gingival loss and its symptoms"))
+    return _values(spark, "x", "string", TAGS).select("i", tags.alias("t")).select("i", "t.*")
+
+
+@query("select conv_id, turn, concat('Role: ', role, chr(10), 'Text: ', text, chr(10), '{other}') as prompt from conversations")
+def prompt_render(spark, sf):
+    rows = table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", T.render("Role: {role}\nText: {text}\n{other}", role=F.col("role"), text=F.col("text")).alias("prompt"))
+
+
+def _turns(spark, sf):
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return rows
+
+
+@query("select conv_id, string_agg(concat(chr(cast(65 + n - 1 as integer)), '. ', text), chr(10) order by turn) as block from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) z group by conv_id")
+def options_block(spark, sf):
+    return _turns(spark, sf).select("conv_id", T.options_block(T.lettered(F.transform("t", lambda x: x["text"]))).alias("block"))
+
+
+@query("select conv_id, string_agg(concat(n, '. ', text, chr(10), 'Location: ', turn, chr(10), 'Explanation: ', role), chr(10) || chr(10) order by turn) as block from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) z group by conv_id")
+def keypoint_block(spark, sf):
+    point = lambda x: F.struct(x["text"].alias("content"), x["turn"].cast("string").alias("location"), x["role"].alias("explanation"))
+    return _turns(spark, sf).select("conv_id", T.key_point_block(F.transform("t", point)).alias("block"))
+
+
+@query(r"select page_id, case when regexp_matches(p, '\.html?$') then 'convert_with_pandoc' when ends_with(p, '.pdf') then 'deepseek_ocr2_to_markdown' end as tool from (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages) z")
+def suffix_route(spark, sf):
+    plain = F.regexp_replace("url", r"[?#].*$", "")
+    return table(spark, sf, "pages").select("page_id", F.when(T.suffix(plain).isin(".html", ".htm", ".pdf"), T.conversion_tool(plain)).alias("tool"))
+
+
+@query("select doc_id, cast((row_number() over (order by doc_id) - 1) % 7 as bigint) as worker from documents")
+def round_robin(spark, sf):
+    return tasks.deal(table(spark, sf, "documents").select("doc_id"), "doc_id", 7)
+
+
+@query("select cast(json_extract(props, '$.k') as bigint) as k, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by 1")
+def props_variant(spark, sf):
+    k = F.expr("try_variant_get(parse_json(props), '$.k', 'bigint')")
+    return table(spark, sf, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+PAGES = ["a<|ref|>image<|/ref|><|det|>[[0,0,999,999]]<|/det|>b", "<|ref|>title<|/ref|><|det|>[[10, 20, 30, 40],[1,2,3,4]]<|/det|>\n\n\n\nt \\coloneqq x", "plain", "x<|ref|>image<|/ref|><|det|>[[1,1,2,2]]<|/det|><|ref|>image<|/ref|><|det|>[[5,5,6,6]]<|/det|>"]
+
+
+@query("select * from (values (0, 'image', '[[0,0,999,999]]'), (1, 'title', '[[10, 20, 30, 40],[1,2,3,4]]'), (3, 'image', '[[1,1,2,2]]'), (3, 'image', '[[5,5,6,6]]')) t(i, label, boxes)")
+def ocr_refs(spark, sf):
+    return _values(spark, "x", "string", PAGES).select("i", F.explode(ocr.references(F.col("x"))).alias("r")).select("i", "r.label", "r.boxes")
+
+
+@query("select 0 as i, 'a![](images/0_0.jpg)' || chr(10) || 'b' as text union all select 1, chr(10) || chr(10) || 't := x' union all select 2, 'plain' union all select 3, 'x![](images/3_0.jpg)' || chr(10) || '![](images/3_1.jpg)' || chr(10)")
+def ocr_strip(spark, sf):
+    return _values(spark, "x", "string", PAGES).select("i", ocr.strip_references(F.col("x"), F.col("i")).alias("text"))
+
+
+@query("select o_orderkey, cast((o_orderkey % 1000) / 999.0::double * 1240 as double) as x from orders where false union all select o_orderkey, cast(floor(cast(o_orderkey % 1000 as double) / 999 * 1240) as double) from orders")
+def ocr_bbox(spark, sf):
+    box = F.concat(F.lit("[["), F.col("o_orderkey") % 1000, F.lit(",0,1,1]]"))
+    rows = table(spark, sf, "orders").select("o_orderkey", ocr.boxes(box, F.lit(1240), F.lit(1754)).alias("b"))
+    return rows.select("o_orderkey", F.get(F.get("b", F.lit(0)), F.lit(0)).cast("double").alias("x"))
+
+
+@query("select conv_id, string_agg(text || chr(10) || '<--- Page Split --->', '' order by turn) as text from conversations where turn % 3 <> 2 group by conv_id")
+def page_concat(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 3 != 2, F.concat("text", F.lit(V.END_OF_TEXT))).otherwise(F.col("text")))
+    return ocr.join_pages(ocr.finished_pages(rows), "conv_id", "turn")
+
+
+@query(f"select event_type as stage, case when value < 10 then 'failed' else 'completed' end as status, count(*) as n, {rounded('100.0 * count(*) / sum(count(*)) over (partition by event_type)')} as share from events group by 1, 2")
+def progress_counts(spark, sf):
+    status = F.when(F.col("value") < 10, "failed").otherwise("completed")
+    return tasks.progress(table(spark, sf, "events").select(F.col("event_type").alias("stage"), status.alias("status")))
+
+
+@query("select event_type as model, cast(sum(event_id) as bigint) as input_tokens, cast(sum(user_id) as bigint) as output_tokens from events group by 1")
+def token_usage(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return tasks.token_usage(rows)
+
+
+@query("select md5(url) as item_id, url as source_path, concat(page_id, '.mmd') as markdown_path, concat(page_id, '.json') as metadata_path, 'MCQ' as type from pages")
+def queue_items(spark, sf):
+    rows = table(spark, sf, "pages").select(
+        F.col("url").alias("source_path"), F.concat("page_id", F.lit(".mmd")).alias("markdown_path"), F.concat("page_id", F.lit(".json")).alias("metadata_path"),
+        T.canonical_type(F.lit(" exam ")).alias("Type"),
+    )
+    return sinks.queue_items(rows)
+
+
+@query("select d.doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id where not exists (select 1 from labels k where k.doc_id = d.doc_id and k.toxic = 1)")
+def skip_existing(spark, sf):
+    labels = table(spark, sf, "labels")
+    left = tasks.skip_existing(table(spark, sf, "documents").select("doc_id"), labels.where("toxic = 1"), "doc_id")
+    return left.join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("""select i, v from (values (0, 'from'), (1, 'question'), (2, 'answer'), (3, 'options'), (4, 'answer_key'), (5, 'ok'), (6, 'ok')) t(i, v)""")
+def choice_validator(spark, sf):
+    o = [("A", "x"), ("B", "y")]
+    rows = [(0, " ", "q", o, "A"), (1, "f", "", o, "A"), (2, "f", "q", o, None), (3, "f", "q", o[:1], "A"), (4, "f", "q", o, "C"), (5, "f", "q", o, " B "), (6, "f", "q", None, "z")]
+    t = spark.createDataFrame(rows, "i int, f string, q string, o array<struct<key:string,value:string>>, a string")
+    return t.select("i", questions.choice_problem(F.col("f"), F.col("q"), F.col("o"), F.col("a")).alias("v"))
+
+
+@query("""select i, v from (values (0, 'ok'), (1, 'options_present'), (2, 'answer')) t(i, v)""")
+def short_answer_validator(spark, sf):
+    rows = [(0, "f", "q", "a", ["from", "question"]), (1, "f", "q", "a", ["options"]), (2, "f", "q", " ", ["options"])]
+    t = spark.createDataFrame(rows, "i int, f string, q string, a string, k array<string>")
+    return t.select("i", questions.short_answer_problem(F.col("f"), F.col("q"), F.col("a"), F.col("k")).alias("v"))
+
+
+@query("""select i, v from (values (0, 'ok'), (1, 'five_key_points'), (2, 'key_point_3'), (3, 'seed_question'), (4, 'five_key_points')) t(i, v)""")
+def case_validator(spark, sf):
+    p = ("c", "l", "e")
+    seed = ("q", "l", "e")
+    rows = [(0, "f", seed, [p] * 5), (1, "f", seed, [p] * 4), (2, "f", seed, [p, p, ("c", "", "e"), p, p]), (3, "f", ("q", None, "e"), [p] * 5), (4, "f", seed, None)]
+    s = "struct<{}:string,location:string,explanation:string>"
+    t = spark.createDataFrame(rows, f"i int, f string, s {s.format('question')}, p array<{s.format('content')}>")
+    return t.select("i", questions.case_problem(F.col("f"), F.col("s"), F.col("p")).alias("v"))
+
+
+ROUNDS = [2.675, 3.125, 0.025, 0.005, 1.005, 33.335, 1234567.891, -2.5]
+
+
+@query(f"select i, {rounded('x')} as r from (values {', '.join(f'({i}, cast({x} as double))' for i, x in enumerate(ROUNDS))}) t(i, x) union all select cast(1000 + l_orderkey as integer), {rounded('avg(l_quantity)')} from lineitem group by l_orderkey")
+def half_even_round(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("x"))
+    rows = _values(spark, "x", "double", ROUNDS).unionByName(lines.select((1000 + F.col("l_orderkey")).cast("int").alias("i"), "x"))
+    return rows.select("i", T.round_half_even(F.col("x")).alias("r"))
+
+
+@query("select question_type, path, appended, ordinal, payload from (select event_type as question_type, cast(user_id as varchar) as path, case when min(event_id) < 5000 then 0 else 1 end as appended, min(event_id) as ordinal, max(event_id) as payload from events group by 1, 2) z")
+def summary_merge(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("question_type"), F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("payload"))
+    return build.merge_summary(rows.where("ordinal < 5000"), rows.where("ordinal >= 5000"))
+
+
+@query("select doc_id, text from (select doc_id, n, min(round) over (partition by doc_id) as r, text, round from (select doc_id, doc_id % 5 as n, i as round, concat('v', i) as text from documents cross join (values (0), (1), (2), (3)) t(i) where i >= doc_id % 5 or i = 3) z) y where round = r")
+def bounded_refinement(spark, sf):
+    start = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 5).alias("need"), F.lit("v0").alias("text"))
+    again = lambda rows, i: rows.withColumn("text", F.lit(f"v{i}"))
+    ok = F.col("need") <= F.substring("text", 2, 9).cast("int")
+    return questions.refine(start, ok, again).select("doc_id", "text")
