@@ -33,6 +33,8 @@ from quizloom.llm import words
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 400
 SWITCH = 12.0
+#: Up to so many languages texts are labelled in blocks of so many words, beyond that word by word.
+FEW_LANGUAGES, BLOCK = 16, 32
 #: Share of a language's words in a script from which it may have written a word in it.
 LEAST_SHARE = 0.002
 SMOOTH = 0.1
@@ -123,7 +125,77 @@ def fit(docs: DataFrame) -> Model:
 
 
 def viterbi(emitted: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Labels of all words; emitted: words x labels; first: offsets of the texts.  Texts go side by side, the longest ahead."""
+    """Labels of all words; emitted: words x labels; first: offsets of the texts."""
+    if 0 < emitted.shape[1] <= FEW_LANGUAGES and len(emitted):
+        return _by_blocks(emitted, first, switch)
+    return _side_by_side(emitted, first, switch)
+
+
+def _by_blocks(emitted: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
+    """Texts are cut into blocks of BLOCK words, which go side by side.
+
+    A block's scores from each label before it to each label at its end are found first; they give every block the
+    scores that it begins with, and then its label at the end.  A text of n words takes n / BLOCK steps of its own.
+    """
+    n_labels, size = emitted.shape[1], np.diff(first)
+    many = -(-size // BLOCK)  # blocks of each text
+    head = np.cumsum(many) - many
+    n = int(many.sum())
+    text = np.repeat(np.arange(len(size)), many)
+    begin = first[:-1][text] + (np.arange(n) - head[text]) * BLOCK
+    at = begin + np.arange(BLOCK)[:, None]  # word of each step and block
+    inside = at < first[1:][text]
+    e = np.where(inside, emitted[np.minimum(at, len(emitted) - 1)].transpose(2, 0, 1), 0.0)  # labels x steps x blocks
+
+    # From each label before a block (first axis of the three) to each label now (second).
+    across = np.full((n_labels, n_labels, n), -switch)
+    across[np.arange(n_labels), np.arange(n_labels)] = 0.0
+    across += e[:, 0]
+    for t in range(1, BLOCK):
+        np.maximum(across, across.max(1, keepdims=True) - switch, out=across)
+        across += e[:, t]
+
+    order = np.argsort(-many, kind="stable")
+    active = np.searchsorted(-many[order], -np.arange(1, int(many.max()) + 1), "right")  # texts of j + 1 blocks or more
+    came_in = np.zeros((n_labels, n))
+    now = np.zeros((n_labels, len(size)))
+    for j, k in enumerate(active):
+        block = head[order[:k]] + j
+        came_in[:, block] = now[:, :k]
+        now[:, :k] = (now[:, None, :k] + across[:, :, block]).max(0)
+        now[:, :k] -= now[:, :k].max(0)
+
+    switched = np.zeros((BLOCK, n_labels, n), bool)  # whether the best way to a label switches
+    best = np.zeros((BLOCK, n), np.int64)  # the best label before each step
+    ways = came_in
+    for t in range(BLOCK):
+        best[t] = ways.argmax(0)
+        top = ways.max(0) - switch
+        switched[t] = ways < top
+        ways = np.maximum(ways, top) + e[:, t]
+    ends = ways.argmax(0)
+
+    # For each label at the end of a block, the label before the block.
+    every = np.arange(n)
+    back = np.repeat(np.arange(n_labels)[:, None], n, 1)
+    for t in range(BLOCK - 1, -1, -1):
+        back = np.where(np.take_along_axis(switched[t], back, 0), best[t], back)
+    label = np.zeros(n, np.int64)
+    for j in range(len(active) - 1, -1, -1):
+        block = head[order[: active[j]]] + j
+        last = many[order[: active[j]]] == j + 1
+        after = block + ~last  # a last block stands for itself
+        label[block] = np.where(last, ends[block], back[label[after], after])
+
+    out = np.zeros(len(emitted), np.int32)
+    for t in range(BLOCK - 1, -1, -1):
+        out[at[t, inside[t]]] = label[inside[t]]
+        label = np.where(switched[t, label, every], best[t], label)
+    return out
+
+
+def _side_by_side(emitted: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
+    """Texts go side by side, the longest ahead."""
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     begin, longest = first[:-1][order], int(size.max(initial=0))
@@ -156,7 +228,7 @@ def viterbi(emitted: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> n
 
 def label_words(texts: pa.Array, model: Model) -> Iterator[tuple[words.Run, np.ndarray]]:
     """Each run of texts with the label of every word."""
-    for run in words.runs(texts, lower=True, letters=True, limit=max(1 << 14, (1 << 22) // (4 * max(4, len(model.languages))))):
+    for run in words.runs(texts, lower=True, letters=True, limit=max(1 << 14, (1 << 22) // (2 * max(4, len(model.languages))))):
         weights = model.weights[_trigrams(run)]
         sums = np.zeros((len(weights) + 1, weights.shape[1]))
         np.cumsum(weights, 0, out=sums[1:])
