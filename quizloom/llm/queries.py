@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import decontaminate, fingerprint, langid, lm, mixing, neardup, secret_scan, substring, toxicity, url_filter
+from quizloom.llm import decontaminate, fingerprint, langid, lm, mixing, neardup, oracles, secret_scan, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
