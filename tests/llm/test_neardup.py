@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from quizloom.llm import components as cc
 from quizloom.llm import neardup
 
@@ -92,3 +94,34 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_copies_that_are_only_alike_to_the_original(spark):
+    rng = random.Random(4)
+    rows = []
+    for size in (50, 300, 1000):
+        base = [f"s{size}w{i}" for i in range(150)]
+        rows.append((10_000 * size, " ".join(base)))
+        for k in range(1, size + 1):
+            w = list(base)
+            for n in range(4):
+                w[rng.randrange(4 + 36 * n, 36 + 36 * n)] = f"e{size}n{k}n{n}"
+            rows.append((10_000 * size + k, " ".join(w)))
+    sets = plain_sets(rows)
+    assert all(0.75 <= len(s & sets[i - i % 10_000]) / len(s | sets[i - i % 10_000]) <= 0.8 for i, s in sets.items() if i % 10_000)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table).collect()}
+    assert got == {i: i - i % 10_000 for i in sets}
+
+
+def test_the_forced_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    token = np.sort(rng.choice(400, 30, replace=False).astype(np.uint64))
+    count = rng.integers(3, 9, 30)
+    for _ in range(500):
+        a = rng.choice(400, rng.integers(1, 60), replace=False).astype(np.uint64)
+        b = np.unique(np.concatenate([a[rng.integers(0, len(a) // 4 + 1) :], rng.choice(400, rng.integers(0, 8)).astype(np.uint64)]))
+        a = np.unique(a)
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            assert len(np.intersect1d(neardup.forced(a, token, count), neardup.forced(b, token, count)))
