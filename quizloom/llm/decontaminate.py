@@ -9,10 +9,11 @@ it.  Words are runs of letters and digits, lower-cased.
    A Bloom filter of the benchmark's shingles, a literal of the plan whose size is
    bounded by ``bits.MOST``, leaves few positions inside each row; an equi-join on
    the shingle then leaves the real ones.
-2. Windows and items get 128-bit SimHashes of their words.  Fingerprints within
-   ``RADIUS`` = 15 bits agree on one of 16 blocks of 8 bits at least, so an equi-join
-   on (block, value) finds all of them.
-3. The exact similarity decides.
+2. The similarity can't reach ``SIMILARITY`` where all of an item's rarest shingles
+   that weigh more than a quarter of it are missing, so an equi-join of the windows'
+   shingles with those finds all pairs, whatever part of the item was left out.
+3. The exact similarity decides.  The distance of the 128-bit SimHashes of the words
+   is told with each match; it doesn't choose any.
 
 Texts are read once and don't cross the network; only the words around hits do.
 
@@ -25,7 +26,7 @@ repeated rows and empty tables are fine; other columns are passed through by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.llm import bits
@@ -33,7 +34,6 @@ from quizloom.llm import bits
 WORDS = 5
 SIMILARITY = 0.75
 BLOCKS, BLOCK_BITS = 16, 8
-RADIUS = BLOCKS - 1
 #: Contaminated documents are broadcast up to this many, and joined by shuffle beyond.
 MAX_BROADCAST = 500_000
 
@@ -76,7 +76,7 @@ def simhash(words: Column) -> Column:
 
 
 def _blocks(fp: Column) -> Column:
-    """(number, value) of each block."""
+    """(number, value) of each block of a SimHash; those within 15 bits share one."""
     out = []
     for k in range(BLOCKS):
         part = F.shiftrightunsigned(F.get(fp, F.lit(k // 8)), BLOCK_BITS * (k % 8)).bitwiseAND(F.lit(255).cast("bigint"))
@@ -107,6 +107,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_union(a, b), zero, step, lambda acc: acc["low"] / acc["high"])
 
 
+def probes(items: DataFrame) -> DataFrame:
+    """item_id, item_hash, h: shingles of each item of which every window alike enough holds one, those in few items first."""
+    each = items.select("item_id", F.xxhash64("words").alias("item_hash"), F.explode(grams(F.col("words"))).alias("g"))
+    each = each.groupBy("item_id", "item_hash", "g").agg(F.sum(F.length("g")).alias("w"))
+    each = each.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    item = Window.partitionBy("item_id", "item_hash")
+    before = F.coalesce(F.sum("w").over(item.orderBy("items", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("before", before).withColumn("whole", F.sum("w").over(item))
+    # The shingles from here on weigh less than SIMILARITY of the item.
+    return each.where(F.col("before") <= (1 - SIMILARITY) * F.col("whole")).select("item_id", "item_hash", F.xxhash64("g").alias("h"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document text and item that it holds: doc_id, text_hash, item_id, start (word, from 0), distance, similarity."""
     items = benchmark_items(benchmark).persist()
@@ -140,17 +152,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.groupBy("doc_id", "text_hash", "start", "len").agg(F.any_value("window").alias("window"))
     # The shingles are made on either side of the join: a filter on the similarity can't be pushed below it.
     full = F.size("window") >= WORDS
-    windows = windows.where(full).withColumn("fp", simhash(F.col("window"))).withColumn("mine", grams(F.col("window")))
+    windows = windows.where(full).withColumn("mine", grams(F.col("window")))
     prints = items.select(
-        "item_id", F.size("words").alias("item_len"), simhash(F.col("words")).alias("item_fp"), grams(F.col("words")).alias("theirs")
-    )
-    near = windows.withColumn("block", F.explode(_blocks(F.col("fp")))).join(
-        prints.withColumn("block", F.explode(_blocks(F.col("item_fp")))), "block"
-    )
-    near = near.withColumn("distance", distance(F.col("fp"), F.col("item_fp"))).where(
-        (F.col("distance") <= RADIUS) & (F.col("len") == F.col("item_len"))
+        "item_id", F.xxhash64("words").alias("item_hash"), F.size("words").alias("len"), F.col("words").alias("item_words"), grams(F.col("words")).alias("theirs")
     )
+    hashes = F.array_distinct(F.transform("mine", lambda g: F.xxhash64(g)))
+    near = windows.withColumn("h", F.explode(hashes)).join(prints.join(probes(items), ["item_id", "item_hash"]), ["h", "len"])
+    near = near.dropDuplicates(["doc_id", "text_hash", "start", "len", "item_id", "item_hash"])
     alike = near.withColumn("similarity", similarity(F.col("mine"), F.col("theirs"))).where(F.col("similarity") >= SIMILARITY)
+    alike = alike.withColumn("distance", distance(simhash(F.col("window")), simhash(F.col("item_words"))))
     best = F.max_by(F.struct("start", "distance", "similarity"), F.struct("similarity", -F.col("start")))
     return alike.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
 

@@ -83,3 +83,18 @@ def test_blocks_find_every_fingerprint_within_the_radius(spark):
     share = F.size(F.array_intersect(decontaminate._blocks(F.col("a")), decontaminate._blocks(F.col("b"))))
     out = table.select("d", decontaminate.distance(F.col("a"), F.col("b")).alias("got"), share.alias("share")).collect()
     assert all(r["d"] == r["got"] and r["share"] >= 1 for r in out)
+
+
+def test_passages_cut_at_either_edge(spark):
+    items, docs = [], []
+    for n in (14, 20, 30, 40, 59):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(1, n // 5 + 1):
+            for side in (0, 1):
+                w = item[k:] if side else item[:-k]
+                around = [[f"d{n}k{k}s{side}p{p}x{i}" for i in range(100)] for p in (0, 1)]
+                docs.append((1000 * n + 10 * k + side, " ".join(around[0] + w + around[1])))
+    want = plain(docs, items)
+    assert {d // 1000 for d, _ in want} == {14, 20, 30, 40, 59} and min(want.values()) < 0.77
+    assert told(spark, docs, items) == want
