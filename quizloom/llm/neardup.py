@@ -5,9 +5,9 @@
 2. Equal sets are one class, stood for by its smallest doc_id.
 3. The forest is ``TREES`` sorted orders of the classes, one by each signature.
    Neighbours in an order that agree on a prefix of at least ``MIN_DEPTH`` are
-   candidates.  An order is cut into regions by prefix, and each region that holds
-   more than ``REGION`` classes is cut again by a longer prefix; classes that agree
-   on the whole signature, however many, each meet the region's smallest.
+   candidates.  An order is cut into regions by prefix; those that hold more than
+   ``REGION`` classes are sorted by ranges over many tasks, and the classes at the
+   edges of two ranges meet too, so every class has its neighbours at any size.
 4. Candidates are confirmed on the full sets.  Some orders go first; the rest only
    confirm candidates that are not connected yet.
 5. Confirmed links give components.
@@ -43,7 +43,6 @@ from quizloom.llm.scratch import store
 
 WORDS = 5
 TREES, DEPTH, MIN_DEPTH = 16, 8, 2
-DEPTHS = (2, 3, 4, 6, 8)
 REGION = 1000
 NEIGHBOURS = 2
 #: Trees whose candidates are confirmed first.
@@ -197,8 +196,42 @@ def signed_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, schema)
 
 
-def _prefix(depth: int):
-    return F.substring("key", 1, 4 * depth)
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (tree, key, id, region): each row with those before it in its region, and the rows at both edges alone."""
+    names = ["tree", "id", "other", "key", "region"]
+
+    def told(rows: pa.Table | pa.RecordBatch, others=None) -> pa.RecordBatch:
+        n, edge = rows.num_rows, others is None
+        columns = [rows.column("tree"), rows.column("id"), pa.nulls(n, pa.int64()) if edge else pa.array(others, pa.int64())]
+        columns += [rows.column("key").cast(pa.binary()) if edge else pa.nulls(n, pa.binary()), rows.column("region")]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    tail, seen = None, 0
+    for batch in batches:
+        if seen < NEIGHBOURS:
+            yield told(batch.slice(0, NEIGHBOURS - seen))
+        old = 0 if tail is None else tail.num_rows
+        rows = batch if tail is None else pa.concat_batches([tail, batch])
+        ids, region = (rows.column(k).to_numpy() for k in ("id", "region"))
+        for k in range(1, NEIGHBOURS + 1):
+            at = np.arange(max(old, k), len(ids))
+            at = at[region[at] == region[at - k]]
+            yield told(rows.take(pa.array(at)), ids[at - k])
+        seen += batch.num_rows
+        tail = rows.slice(max(0, rows.num_rows - NEIGHBOURS))
+    if seen > NEIGHBOURS:
+        yield told(tail.slice(max(0, tail.num_rows - (seen - NEIGHBOURS))))
+
+
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """Neighbours (id, tree, other) of rows (tree, key, id, region), sorted by ranges."""
+    ranges = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    near = store(ranges.mapInArrow(_neighbours, "tree int, id long, other long, key binary, region long"), "ranges")
+    # A few rows of each task.
+    order = Window.partitionBy("tree").orderBy("key", "id")
+    before = [F.when(F.lag("region", k).over(order) == F.col("region"), F.lag("id", k).over(order)) for k in range(1, NEIGHBOURS + 1)]
+    edges = near.where(F.col("key").isNotNull()).select("id", "tree", F.array(*before).alias("others"))
+    return near.where(F.col("key").isNull()).select("id", "tree", "other").unionByName(edges.select("id", "tree", F.explode("others").alias("other")))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -208,31 +241,17 @@ def candidates(classes: DataFrame) -> DataFrame:
         lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("key")),
     )
     entries = classes.select("id", F.explode(keys).alias("e")).select("id", "e.tree", "e.key")
-    pairs = []
-    rest, first = entries, True
-    for depth in DEPTHS:
-        rest = rest.withColumn("prefix", _prefix(depth))
-        sizes = rest.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-        if first:
-            sizes = store(sizes.where("n > 1"), "regions")
-            first = False
-        small = sizes.where((F.col("n") > 1) & (F.col("n") <= REGION)).select("tree", "prefix")
-        region = Window.partitionBy("tree", "prefix").orderBy("key", "id")
-        near = rest.join(small, ["tree", "prefix"]).select(
-            "id", "tree", F.array(*[F.lag("id", k).over(region) for k in range(1, NEIGHBOURS + 1)]).alias("others")
-        )
-        pairs.append(near.select("id", "tree", F.explode("others").alias("other")))
-        large = sizes.where(F.col("n") > REGION)
-        if large.isEmpty():
-            break
-        large = large.select("tree", "prefix", "least")
-        rest = rest.join(large, ["tree", "prefix"])
-        if depth == DEPTHS[-1]:
-            pairs.append(rest.select("id", "tree", F.col("least").alias("other")))
-        rest = store(rest.select("id", "tree", "key"), "deeper")
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.unionByName(more)
+    entries = entries.withColumn("prefix", F.substring("key", 1, 4 * MIN_DEPTH))
+    sizes = store(entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
+    region = Window.partitionBy("tree", "prefix").orderBy("key", "id")
+    near = entries.join(sizes.where(F.col("n") <= REGION).select("tree", "prefix"), ["tree", "prefix"]).select(
+        "id", "tree", F.array(*[F.lag("id", k).over(region) for k in range(1, NEIGHBOURS + 1)]).alias("others")
+    )
+    out = near.select("id", "tree", F.explode("others").alias("other"))
+    large = sizes.where(F.col("n") > REGION).select("tree", "prefix")
+    if not large.isEmpty():
+        rows = store(entries.join(large, ["tree", "prefix"]).select("tree", "key", "id", F.xxhash64("tree", "prefix").alias("region")), "large")
+        out = out.unionByName(_in_ranges(rows))
     return (
         out.where(F.col("other").isNotNull() & (F.col("other") != F.col("id")))
         .groupBy(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))

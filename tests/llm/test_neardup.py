@@ -125,3 +125,15 @@ def test_the_forced_shingles_of_similar_sets_meet():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 75 * (len(a) + len(b) - common):
             assert len(np.intersect1d(neardup.forced(a, token, count), neardup.forced(b, token, count)))
+
+
+def test_large_regions_keep_all_neighbours(spark, monkeypatch):
+    rng = random.Random(6)
+    tree = 4 * neardup.DEPTH
+    rows = [(i, b"".join(bytes([t, i % 3] * 4) + rng.randbytes(tree - 8) for t in range(neardup.TREES))) for i in range(200)]
+    classes = spark.createDataFrame(rows, "id long, signature binary")
+    found = []
+    for region in (10**9, 4):
+        monkeypatch.setattr(neardup, "REGION", region)
+        found.append({(r["u"], r["v"]) for r in neardup.candidates(classes).collect()})
+    assert len(found[0]) > 1000 and found[0] <= found[1]
