@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 The model is fitted on a bounded, hashed sample of the labelled training rows, in
-three parts: one finds the lexicon (words and word beginnings that toxic documents
+three parts (where it holds a smaller share of one class than of the other, rows are
+weighed by class so that rates are those of all training rows): one finds the lexicon (words and word beginnings that toxic documents
 hold far more often), one grows the trees, one calibrates.  It is a few hundred
 kilobytes whatever the corpus holds, and every document is scored by it in one
 pass without a shuffle.
@@ -182,10 +183,11 @@ def _grow(binned: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, n_bins:
     return split, at, RATE * g / (h + 1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y over x, by pooling adjacent violators."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing fit of y over x, by pooling adjacent violators; each row counts as its weight, or once."""
+    weight = np.ones(len(y)) if weight is None else weight
     at, which = np.unique(x, return_inverse=True)  # rows with one x are one point
-    sums, counts = np.bincount(which, y), np.bincount(which)
+    sums, counts = np.bincount(which, weight * y), np.bincount(which, weight)
     pools: list[list[float]] = []  # sum, count, first x, last x
     for x0, total, n in zip(at.tolist(), sums.tolist(), counts.tolist(), strict=True):
         pools.append([total, n, x0, x0])
@@ -196,8 +198,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
-def train(texts: pa.Array, y: np.ndarray, part: np.ndarray) -> Model:
-    """part: 0 finds the lexicon, 1 grows trees, 2 calibrates."""
+def train(texts: pa.Array, y: np.ndarray, part: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """part: 0 finds the lexicon, 1 grows trees, 2 calibrates; weight: of each row, in the latter two."""
+    weight = np.ones(len(y)) if weight is None else weight
     rate = float(y.mean()) if len(y) else 0.0
     model = Model(np.zeros(0, np.int64), np.zeros(0), [], [], rate, np.zeros(0), np.zeros(0))
     if min((y[part == p] == c).sum() for p in (0, 1, 2) for c in (0, 1)) == 0:
@@ -205,21 +208,22 @@ def train(texts: pa.Array, y: np.ndarray, part: np.ndarray) -> Model:
         if len(set(y.tolist())) < 2:
             return model
     of = lambda p: part == p if part.any() else np.ones(len(y), bool)
-    pick = lambda p: (texts.filter(pa.array(of(p))), y[of(p)])
-    model.buckets, model.weights = _find_lexicon(*pick(0))
-    some, target = pick(1)
+    pick = lambda p: (texts.filter(pa.array(of(p))), y[of(p)], weight[of(p)])
+    model.buckets, model.weights = _find_lexicon(*pick(0)[:2])
+    some, target, times = pick(1)
+    times = times / times.mean()
     x = features(some, model)
     model.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(model.edges)], 1)
-    model.base = float(np.log((target.sum() + 1) / (len(target) - target.sum() + 1)))
+    model.base = float(np.log(((times * target).sum() + 1) / ((times * (1 - target)).sum() + 1)))
     margin = np.full(len(x), model.base)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        tree = _grow(binned, target - p, p * (1 - p), BINS + 1)
+        tree = _grow(binned, times * (target - p), times * p * (1 - p), BINS + 1)
         model.trees.append(tree)
         margin += tree[2][_leaf(tree, binned)]
-    some, target = pick(2)
-    model.knots, model.rates = isotonic(model.margin(features(some, model)), target.astype(float))
+    some, target, times = pick(2)
+    model.knots, model.rates = isotonic(model.margin(features(some, model)), target.astype(float), times)
     return model
 
 
@@ -227,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most SAMPLE training rows of each class, which are those with the smallest hashes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Ids and labels alone choose the rows; the threshold on the hash bounds the sample before texts are read.
     known = known.withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
     picked = None
@@ -238,7 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "y", "h", "doc_id").orderBy("h", "doc_id", "text").limit(2 * sum(SAMPLE.values()))
     table = rows.select("text", "y", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(10)).alias("part")).toArrow()
     part = np.array([0, 0, 0, 0, 0, 1, 1, 1, 2, 2])[table.column("part").to_numpy().astype(np.int64)] if table.num_rows else np.zeros(0, np.int64)
-    return train(table.column("text").combine_chunks(), table.column("y").to_numpy(), part)
+    y = table.column("y").to_numpy()
+    share = {c: max(1.0, totals.get(c, 0) / most) for c, most in SAMPLE.items()}  # rows that one of the sample stands for
+    return train(table.column("text").combine_chunks(), y, part, np.where(y == 1, share[1], share[0]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

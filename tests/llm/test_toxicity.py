@@ -70,3 +70,22 @@ def test_features_have_the_named_parts():
     x = toxicity.features(pa.array(["You IDIOT!", "a calm day", None, "id1ot s-um"]), empty)
     assert x.shape == (4, 15) and x[0, 0] == 0.5 and x[0, 9] == 0.5 and x[1, 0] == 0 and not x[2].any()
     assert x[0, 11] == 0.6 and x[0, 13] == 0.1 and x[3, 14] == 0.2
+
+
+def test_rates_are_those_of_the_corpus_where_the_sample_is_capped(spark, monkeypatch):
+    rng = random.Random(9)
+    stock = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    # One text in ten is toxic, and texts tell nothing about it, so each has the rate of one in ten.
+    rows = [(i, " ".join(rng.choices(stock, k=30))) for i in range(6000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 300, 0: 300})
+    got = [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()]
+    assert 0.05 < sum(got) / len(got) < 0.2
+
+
+def test_weights_count_as_repeated_rows():
+    rng = np.random.default_rng(5)
+    x, y, n = rng.integers(0, 30, 200).astype(float), rng.integers(0, 2, 200).astype(float), rng.integers(1, 5, 200)
+    for got, want in zip(toxicity.isotonic(x, y, n.astype(float)), toxicity.isotonic(np.repeat(x, n), np.repeat(y, n)), strict=True):
+        assert np.allclose(got, want)
