@@ -8,7 +8,7 @@ shared folder, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quizloom.llm.scratch import store
@@ -27,13 +27,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _mark(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """edges, stored, and what tells whether two edge tables are the same; both come from one job."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    out = store(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), name)
+    return out, (seen.get["n"], seen.get["total"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges: rows (u, v), no nulls.  Rows (node, component) for each node of an edge, by its smallest reachable node."""
+    """edges: rows (u, v), no nulls.  Rows (node, component) for each node of an edge, by its smallest reachable node.
+
+    Two rounds are written at a time.
+    """
     now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
     for _ in range(max_rounds):
-        now = store(_small_star(_large_star(now)), "star")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now, mark = _mark(_small_star(_large_star(_small_star(_large_star(now)))), "star")
         if mark == before:
             break
         before = mark
@@ -42,3 +52,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
+
+
+def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (u, v)."""
+    return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links.select("u", "v")))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.llm import bits, words
-from quizloom.llm.components import components
+from quizloom.llm.components import components, extended
 from quizloom.llm.scratch import store
 
 WORDS = 5
@@ -99,14 +99,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for run in words.runs(batch.column("text"), lower=True):
-            blobs = [s.tobytes() for s in words.shingle_sets(run, WORDS)]
-            ids = batch.column("id").slice(run.lo, run.hi - run.lo)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], names=["id", "shingles"])
-
-
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         u, v = (batch.column(k).to_numpy() for k in "uv")
@@ -274,12 +266,23 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, shingles of the ends of pairs."""
+    """id, shingles of the ends of pairs, and of few other documents.
+
+    A table of bounded size tells which texts aren't ends, so no text crosses the network.
+    """
     needed = store(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")
-    # A filter of bounded size keeps nearly all other texts out of the shuffle that the join makes.
-    maybe = bits.table_of(needed.select(F.xxhash64("id").alias("h")), "h", per_hash=16)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(maybe(F.xxhash64("id"))).join(needed, "id", "left_semi")
-    return store(texts.mapInArrow(_blobs, "id long, shingles binary"), "sets")
+    table = docs.sparkSession.sparkContext.broadcast(bits.array_of(needed.select(F.xxhash64("id").alias("h")), "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(bits.may_hold(table.value, batch.column("h").to_numpy())))
+            for part in words.runs(some.column("text"), lower=True):
+                blobs = [s.tobytes() for s in words.shingle_sets(part, WORDS)]
+                ids = some.column("id").slice(part.lo, part.hi - part.lo)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], names=["id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
+    return store(texts.where(F.col("id").isNotNull()).mapInArrow(run, "id long, shingles binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -297,16 +300,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The other trees matter only where they connect what isn't connected.
     more = store(_linked(_apart(pairs.where(F.col("tree") >= FIRST_TREES), joined), sets), "links")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        joined = store(components(links), "joined")
+        joined = store(extended(joined, more), "joined")
     pairs = store(missed(docs, classes, joined), "missed")
     if not pairs.isEmpty():
         sets = _sets(docs, pairs)
         for some in (_hubs, lambda p: p):
             more = store(_linked(some(_apart(pairs, joined)), sets), "links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                joined = store(components(links), "joined")
+                joined = store(extended(joined, more), "joined")
     joined = joined.withColumnRenamed("node", "id")
     told = classes.join(joined, "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     return (
