@@ -12,14 +12,15 @@ document and an earlier start.
 3. In a shard, each anchor's pieces are streamed through a suffix automaton of the
    earlier ones; where the matching statistics reach ``WINDOW``, the window
    occurred before.  Then the piece joins the automaton.
-4. An anchor that more than ``HEAVY`` places share isn't gathered in a shard: its
-   windows are reduced to their first places by a combining aggregation and joined
-   back, which finds the same windows.
+4. A place of an anchor that more than ``HEAVY`` places share isn't gathered in a
+   shard.  Its windows are reduced to their first places by a combining aggregation,
+   and a document is told which of its own are first; all others of that anchor
+   occurred before.  No row is made for those.
 5. The windows' places go back to the texts, which are cut.
 
 The reference grows with the corpus, so its shards travel by shuffle and not by
 broadcast, and no automaton holds more than ``HEAVY`` pieces.  The texts cross one
-shuffle, which both joins share.
+shuffle; the joins that need them (2, 4 and 5) read the same one.
 
 Defined results: a null text has no words; a text shorter than a window loses
 nothing; a null doc_id comes after every other one; rows with one doc_id are
@@ -210,21 +211,46 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, types, strict=True)], names=["k", "t", "lo", "hi"])
 
 
+def _windows_again(run: words.Run, told: list[dict[int, np.ndarray]]) -> list[np.ndarray]:
+    """Of each row the starts of the windows at its heavy anchors, without those that are first."""
+    row, _, place, first, last = _anchors_of(run, run.hashes())
+    heavy = np.concatenate([x[HEAVY_PLACE] + f for x, f in zip(told, run.first[:-1], strict=True)])
+    keep = np.isin(place, heavy)
+    row, first, last = row[keep], first[keep], last[keep]
+    many = last - first + 1
+    at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+    fresh = np.concatenate([x[FRESH] + f for x, f in zip(told, run.first[:-1], strict=True)])
+    row = np.repeat(row, many)
+    again = ~np.isin(at, fresh)
+    cut = np.searchsorted(row[again], np.arange(len(told) + 1))
+    return [at[again][x:y] - f for x, y, f in zip(cut[:-1], cut[1:], run.first[:-1], strict=True)]
+
+
+#: What a document is told of its windows: a range of starts, a place of a heavy anchor, or a start of a first window at one.
+RANGE, HEAVY_PLACE, FRESH = 0, 1, 2
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gone = batch.column("gone")
+        lists = batch.column("told")
         for run in words.runs(batch.column("text"), lower=False):
-            n, removed, kept = [], [], []
+            n, removed, kept, told, ranges = [], [], [], [], []
+            for i in range(run.lo, run.hi):
+                each = lists[i].values if lists[i].is_valid else None
+                what, x, y = (np.asarray(each.field(c)).astype(np.int64) if each is not None else np.zeros(0, np.int64) for c in ("what", "x", "y"))
+                told.append({kind: x[what == kind] for kind in (RANGE, HEAVY_PLACE, FRESH)})
+                ranges.append(y[what == RANGE])
+            again = _windows_again(run, told) if any(len(x[HEAVY_PLACE]) for x in told) else None
+            text = run.data.tobytes()
             for i in range(run.hi - run.lo):
                 a, b = run.first[i], run.first[i + 1]
                 drop = np.zeros(b - a + 1, np.int64)
-                ranges = gone[run.lo + i]
-                if ranges.is_valid:
-                    lo, hi = (np.asarray(ranges.values.field(c)) for c in ("lo", "hi"))
-                    np.add.at(drop, lo, 1)
-                    np.add.at(drop, hi + WINDOW, -1)
+                np.add.at(drop, told[i][RANGE], 1)
+                np.add.at(drop, ranges[i] + WINDOW, -1)
+                if again is not None:
+                    np.add.at(drop, again[i], 1)
+                    np.add.at(drop, again[i] + WINDOW, -1)
                 keep = np.flatnonzero(np.cumsum(drop)[:-1] == 0) + a
-                text = run.data.tobytes() if i == 0 else text  # noqa: F821
                 pieces = [text[x:y] for x, y in zip(run.start[keep].tolist(), run.stop[keep].tolist(), strict=True)]
                 n.append(b - a)
                 removed.append(b - a - len(keep))
@@ -252,41 +278,47 @@ def _located(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), key.alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """Rows (k, t, lo, hi): windows that start at lo..hi occurred earlier."""
+def repeats(docs: DataFrame) -> DataFrame:
+    """Rows (k, t, what, x, y) for documents: RANGE, windows that start at x..y occurred earlier; HEAVY_PLACE and FRESH, x alone."""
     texts = _located(docs)
     anchors = texts.select("k", "t", "text").mapInArrow(_anchors, "anchor long, k long, t long, place int")
     counts = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     shared = store(counts.where("n > 1"), "anchors")
 
-    def documents_with(some: DataFrame) -> DataFrame:
-        at = anchors.join(some.select("anchor"), "anchor", "left_semi")
-        places = at.groupBy("k", "t").agg(F.collect_set("place").alias("places"))
-        return texts.select("k", "t", "text").join(places, ["k", "t"]).select("k", "t", "text", "places")
+    def places_of(some: DataFrame) -> DataFrame:
+        return anchors.join(some.select("anchor"), "anchor", "left_semi")
 
-    light = documents_with(shared.where(F.col("n") <= HEAVY))
+    def documents_with(places: DataFrame) -> DataFrame:
+        lists = places.groupBy("k", "t").agg(F.collect_set("place").alias("places"))
+        return texts.join(lists, ["k", "t"]).select(*texts.columns, "places")
+
+    def told(rows: DataFrame, what: int, x: str, y: str) -> DataFrame:
+        return rows.select("k", "t", F.lit(what).alias("what"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+    light = documents_with(places_of(shared.where(F.col("n") <= HEAVY)))
     pieces = light.mapInArrow(_pieces(False), "anchor long, k long, t long, start int, piece binary")
     ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "k", "t", "start")
-    found = ordered.mapInArrow(_stream, "k long, t long, lo int, hi int")
+    found = told(ordered.mapInArrow(_stream, "k long, t long, lo int, hi int"), RANGE, "lo", "hi")
     heavy = shared.where(F.col("n") > HEAVY)
     if not heavy.isEmpty():
-        windows = documents_with(heavy).mapInArrow(_pieces(True), "a long, b long, k long, t long, start int")
-        first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "t", "start")).alias("first"))
-        again = windows.join(first, ["a", "b"]).where(F.struct("k", "t", "start") != F.col("first"))
-        found = found.unionByName(again.select("k", "t", F.col("start").alias("lo"), F.col("start").alias("hi")))
+        places = places_of(heavy)
+        windows = documents_with(places).mapInArrow(_pieces(True), "a long, b long, k long, t long, start int")
+        first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "t", "start")).alias("first")).select("first.*")
+        found = found.unionByName(told(places, HEAVY_PLACE, "place", "place")).unionByName(told(first, FRESH, "start", "start"))
     return found
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    gone = repeated_ranges(docs).groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
-    return _located(docs).join(gone, ["k", "t"], "left").select("doc_id", "text", "gone")
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    lists = repeats(docs).groupBy("k", "t").agg(F.collect_set(F.struct("what", "x", "y")).alias("told"))
+    texts = _located(docs)
+    return texts.join(lists, ["k", "t"], "left").select(*texts.columns, "told")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    return _with_ranges(docs).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    return _with_repeats(docs).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest_repeats(docs: DataFrame) -> DataFrame:
     """As remove_repeats, with a SHA-256 of what stays in place of it."""
-    return _with_ranges(docs).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_repeats(docs).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
