@@ -17,17 +17,18 @@ from quizloom.llm.scratch import store
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    # The labels grow with the edges: never broadcast.
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     """edges, stored, and what tells whether two edge tables are the same; both come from one job."""
     seen = Observation()
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -38,12 +39,12 @@ def _mark(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges: rows (u, v), no nulls.  Rows (node, component) for each node of an edge, by its smallest reachable node.
 
-    Two rounds are written at a time.
+    Each half of a round is written, so that plans stay small.
     """
     now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
     for _ in range(max_rounds):
-        now, mark = _mark(_small_star(_large_star(_small_star(_large_star(now)))), "star")
+        now, mark = _marked(_small_star(store(_large_star(now), "large_star")), "small_star")
         if mark == before:
             break
         before = mark

@@ -154,7 +154,7 @@ def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), tokens], names=["id", "n", "tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("id").isNotNull())
-    of = classes.select("id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+    of = classes.select("id").join(joined.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     rows = texts.mapInArrow(run, "id long, n int, tokens array<long>").join(of.select("id", F.coalesce("component", "id").alias("c")), "id")
     rows = rows.select("id", "c", "n", F.posexplode("tokens").alias("at", "token"))
     same = Window.partitionBy("token")
@@ -254,13 +254,13 @@ def candidates(classes: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are alike enough."""
     of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
-    both = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv")
+    both = pairs.select("u", "v").join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select("u", "v", "su", "sv")
     return both.mapInArrow(_confirm, "u long, v long")
 
 
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
-    of = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    of = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")).hint("merge")
     far = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
     return far.select(pairs.columns)
 
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if not more.isEmpty():
                 joined = store(extended(joined, more), "joined")
     joined = joined.withColumnRenamed("node", "id")
-    told = classes.join(joined, "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
+    told = classes.join(joined.hint("merge"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     return (
         signed.drop("signature").join(told, ["set_hi", "set_lo"], "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")))
