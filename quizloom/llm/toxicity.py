@@ -1,9 +1,11 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The model is fitted on a bounded, hashed sample of the labelled training rows, in
-three parts (where it holds a smaller share of one class than of the other, rows are
-weighed by class so that rates are those of all training rows): one finds the lexicon (words and word beginnings that toxic documents
-hold far more often), one grows the trees, one calibrates.  It is a few hundred
+The model is fitted by one task on a sample of the labelled training rows that is
+bounded in rows (``SAMPLE``) and bytes (``SAMPLE_BYTES``).  Where it holds a smaller
+share of one class than of the other, rows are weighed by class, so that rates are
+those of all training rows.  The sample has three parts: one finds the lexicon
+(words and word beginnings that toxic documents hold far more often), one grows the
+trees, one calibrates.  It is a few hundred
 kilobytes whatever the corpus holds, and every document is scored by it in one
 pass without a shuffle.
 
@@ -23,11 +25,13 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from quizloom.llm import words
 THRESHOLD = 0.7
 #: Rows of each class that the model is fitted on at most.
 SAMPLE = {1: 3000, 0: 6000}
+#: Characters of a text that the sample takes in, and bytes of all its texts; longer texts are scored like all others.
+SAMPLE_TEXT, SAMPLE_BYTES = 200_000, 1 << 26
 BUCKETS = 1 << 22
 LEXICON = 40_000
 NEAR = 5
@@ -151,7 +157,7 @@ def _find_lexicon(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
         pairs = np.unique(row * BUCKETS + entries.ravel())
         doc, bucket = pairs // BUCKETS, pairs % BUCKETS
         for c in (0, 1):
-            counts[c] += np.bincount(bucket[y[run.lo + doc] == c], minlength=BUCKETS).astype(np.int32)
+            np.add.at(counts[c], bucket[y[run.lo + doc] == c], 1)
     toxic = np.flatnonzero(counts[1] >= 4)
     ratio = np.log((counts[1][toxic] + 0.5) / ((y == 1).sum() + 1)) - np.log((counts[0][toxic] + 0.5) / ((y == 0).sum() + 1))
     # Chance: one standard error of the log ratio is taken off.
@@ -228,7 +234,10 @@ def train(texts: pa.Array, y: np.ndarray, part: np.ndarray, weight: np.ndarray |
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most SAMPLE training rows of each class, which are those with the smallest hashes."""
+    """A model from at most SAMPLE training rows of each class, which are those with the smallest hashes.
+
+    One task trains it; the driver gets the model alone.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -238,14 +247,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for y, most in SAMPLE.items():
         one = known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         picked = one if picked is None else picked.unionByName(one)
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_TEXT)
     # The right side has 9,000 rows at most.
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "y", "h", "doc_id").orderBy("h", "doc_id", "text").limit(2 * sum(SAMPLE.values()))
-    table = rows.select("text", "y", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(10)).alias("part")).toArrow()
-    part = np.array([0, 0, 0, 0, 0, 1, 1, 1, 2, 2])[table.column("part").to_numpy().astype(np.int64)] if table.num_rows else np.zeros(0, np.int64)
-    y = table.column("y").to_numpy()
-    share = {c: max(1.0, totals.get(c, 0) / most) for c, most in SAMPLE.items()}  # rows that one of the sample stands for
-    return train(table.column("text").combine_chunks(), y, part, np.where(y == 1, share[1], share[0]))
+    rows = rows.select("text", "y", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(10)).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, left = [], SAMPLE_BYTES
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+            kept.append(batch.slice(0, int(np.searchsorted(size, left, "right"))))
+            left -= int(size[-1]) if len(size) else 0
+            if left <= 0:
+                break
+        if not any(b.num_rows for b in kept):
+            return
+        table = pa.Table.from_batches(kept).combine_chunks()
+        y = table.column("y").to_numpy()
+        part = np.array([0, 0, 0, 0, 0, 1, 1, 1, 2, 2])[table.column("part").to_numpy().astype(np.int64)]
+        share = {c: max(1.0, totals.get(c, 0) / max(1, int((y == c).sum()))) for c in SAMPLE}  # rows that one of the sample stands for
+        model = train(pa.concat_arrays(table.column("text").chunks), y, part, np.where(y == 1, share[1], share[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = rows.mapInArrow(run, "model binary").collect()  # one row
+    if not got:
+        return train(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pickle.loads(got[0]["model"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
