@@ -57,17 +57,44 @@ def validation_passed(selected: Column, candidates: Column) -> Column:
     return F.coalesce(selected == 1, F.lit(False)) | F.coalesce(F.exists(candidates, lambda c: c == 1), F.lit(False))
 
 
+#: Characters of the piece of a name by which a longer source finds it.
+PIECE = 8
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All runs of that many characters, once each; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
+
+
+def names_holding(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (source, file): the first file name that holds each source, which has a character at least.
+
+    A name is told by its pieces: up to PIECE - 1 characters a source is such a piece itself, and
+    the first name of each piece is enough.  A longer source meets the names by the one of its
+    pieces that the fewest names hold, and is then looked for in them.
+    """
+    names = files.select("file").distinct()
+    short = sources.select("source").where(F.length("source") < PIECE).distinct()
+    every = F.flatten(F.filter(F.array(*[_pieces(F.col("file"), k) for k in range(1, PIECE)]), lambda x: x.isNotNull()))
+    first = names.select("file", F.explode(every).alias("source")).groupBy("source").agg(F.min("file").alias("file"))
+    by_piece = names.select("file", F.explode(_pieces(F.col("file"), PIECE)).alias("piece"))
+    held = by_piece.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    long = sources.select("source").where(F.length("source") >= PIECE).distinct()
+    rarest = long.select("source", F.explode(_pieces(F.col("source"), PIECE)).alias("piece")).join(held, "piece", "left")
+    rarest = rarest.groupBy("source").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"))
+    found = rarest.join(by_piece, "piece").where(F.contains("file", "source")).groupBy("source").agg(F.min("file").alias("file"))
+    return short.join(first, "source").select("source", "file").unionByName(found)
+
+
 def match_sidecars(cases: DataFrame, sidecars: DataFrame) -> DataFrame:
     """cases: id, seed, source; sidecars: file, seed.  The first file with the case's seed question, or whose name holds its source.
 
-    Equal seeds are an equi-join.  Only cases with a source go through the name match, one row per case
-    and file name that holds it.
+    Equal seeds are an equi-join with the first file of each seed.
     """
-    equal = cases.join(sidecars, "seed").select("id", "file")
+    equal = cases.select("id", "seed").join(sidecars.groupBy("seed").agg(F.min("file").alias("file")), "seed").select("id", "file")
     named = cases.where(T.has_text(F.col("source"))).select("id", T.trim_all(F.col("source")).alias("source"))
-    # Names are cut into the parts between underscores and dots; a source that is such a part meets it by hash.
-    parts = sidecars.select("file", F.explode(F.array_distinct(F.split("file", r"[_.]"))).alias("source"))
-    by_name = named.join(parts, "source").select("id", "file")
+    by_name = named.join(names_holding(named, sidecars), "source").select("id", "file")
     first = equal.unionByName(by_name).groupBy("id").agg(F.min("file").alias("file"))
     return cases.select("id").join(first, "id", "left")
 

@@ -132,7 +132,11 @@ def strategy(kind: Column, n_chunks: Column) -> Column:
     )
 
 
-def sections(docs: DataFrame, key: str) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def sections(docs: DataFrame, key: str | list[str]) -> DataFrame:
     """Markdown sections: ordinal, title, level, text.  What stands before the first heading is the preamble."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\R", "\n")
     heading = r"^(#{1,6})[^\S\n]+(\S.*?)[^\S\n]*(?:\n|$)"
@@ -142,33 +146,35 @@ def sections(docs: DataFrame, key: str) -> DataFrame:
     ))
     full = F.filter(parts, lambda s: s["text"] != "")
     none = F.array(F.struct(F.lit("Full Document").alias("title"), F.lit(0).alias("level"), F.lit("").alias("text")))
-    rows = docs.select(key, full.alias("_s"))
+    rows = docs.select(*_keys(key), full.alias("_s"))
     some = F.when(F.size("_s") > 0, F.col("_s")).otherwise(none)
-    return rows.select(key, F.posexplode(some).alias("ordinal", "s")).select(key, "ordinal", "s.*")
+    return rows.select(*_keys(key), F.posexplode(some).alias("ordinal", "s")).select(*_keys(key), "ordinal", "s.*")
 
 
-def matched_sections(parts: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+def matched_sections(parts: DataFrame, titles: DataFrame, key: str | list[str]) -> DataFrame:
     """Sections whose heading holds a recommended title of their document, or is held by it; the first of each heading.
 
     titles: rows (key, title).  The join is on the document; the titles of one document are few.
     """
-    wanted = titles.select(key, T.normalize_heading(F.col("title")).alias("_t")).where("_t != ''")
-    wanted = wanted.groupBy(key).agg(F.collect_set("_t").alias("_titles"))
+    key = _keys(key)
+    wanted = titles.select(*key, T.normalize_heading(F.col("title")).alias("_t")).where("_t != ''")
+    wanted = wanted.groupBy(*key).agg(F.collect_set("_t").alias("_titles"))
     rows = parts.withColumn("_h", T.normalize_heading(F.col("title"))).where("_h != ''").join(wanted, key)
     rows = rows.where(F.exists("_titles", lambda t: F.contains(F.col("_h"), t) | F.contains(t, F.col("_h"))))
-    w = Window.partitionBy(key, "_h").orderBy("ordinal")
+    w = Window.partitionBy(*key, "_h").orderBy("ordinal")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_h", "_titles")
 
 
-def segments(docs: DataFrame, matched: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+def segments(docs: DataFrame, matched: DataFrame, reports: DataFrame, key: str | list[str]) -> DataFrame:
     """segment_type, title, text: matched sections, else the chunks that a report recommends, else the whole document."""
-    one = matched.select(key, F.lit("section").alias("segment_type"), "title", "text")
+    key = _keys(key)
+    one = matched.select(*key, F.lit("section").alias("segment_type"), "title", "text")
     two = reports.where("recommended").select(
-        key, F.lit("read_chunk").alias("segment_type"), F.concat(F.lit("Structure chunk "), (F.col("chunk_index") + 1).cast("string")).alias("title"), "text"
+        *key, F.lit("read_chunk").alias("segment_type"), F.concat(F.lit("Structure chunk "), (F.col("chunk_index") + 1).cast("string")).alias("title"), "text"
     )
-    two = two.join(one.select(key).distinct(), key, "left_anti")
-    three = docs.select(key, F.lit("full_document").alias("segment_type"), F.lit("Full Document").alias("title"), "text")
-    three = three.join(one.select(key).union(two.select(key)).distinct(), key, "left_anti")
+    two = two.join(one.select(*key).distinct(), key, "left_anti")
+    three = docs.select(*key, F.lit("full_document").alias("segment_type"), F.lit("Full Document").alias("title"), "text")
+    three = three.join(one.select(*key).union(two.select(*key)).distinct(), key, "left_anti")
     return one.unionByName(two).unionByName(three)
 
 

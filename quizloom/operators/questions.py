@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
+from quizloom.sources.scratch import store
 
 
 def _first_failing(checks: list[tuple[str, Column]], otherwise: str = "ok") -> Column:
@@ -77,12 +78,14 @@ def best_candidate(candidates: DataFrame, key: str, passed: str, total: str, ord
 def refine(candidates: DataFrame, ok: Column, again: Callable[[DataFrame, int], DataFrame], rounds: int = 3) -> DataFrame:
     """Rows that aren't ok go through again(rows, round) up to rounds times; all rows come back, with attempts.
 
-    Each round is written down by the caller's choice of persist or checkpoint in again; the plan is
-    unrolled, since the number of rounds is fixed and small.
+    Each round is stored, so what it calls (a model, say) runs once; the rounds end early when all rows are ok.
     """
     now = candidates.withColumn("attempts", F.lit(0))
     done = []
     for i in range(1, rounds + 1):
         done.append(now.where(ok))
-        now = again(now.where(~ok), i).withColumn("attempts", F.lit(i))
+        left = now.where(~F.coalesce(ok, F.lit(False)))
+        now = store(again(left, i).withColumn("attempts", F.lit(i)), f"round-{i}")
+        if now.isEmpty():
+            break
     return reduce(DataFrame.unionByName, [*done, now])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
 from quizloom.functions import values as V
+from quizloom.sources.scratch import store
 
 ITEM = ["category", "item_index"]
 
@@ -36,14 +37,18 @@ def skip_existing(records: DataFrame, done: DataFrame, key: str = "output_path")
 
 
 def deal(records: DataFrame, order: str, n: int) -> DataFrame:
-    """Round robin by the position in order, computed per range so no task holds all rows."""
-    ranged = records.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = {r["_part"]: r["count"] for r in inside.groupBy("_part").count().collect()}  # one number a partition
+    """Round robin by the position in order, counted within ranges of order, so no task holds all rows.
+
+    The ranges are stored: were they drawn again for the second job, their bounds could differ from those
+    that were counted.  Rows that are equal in order go to one range and follow each other there in any order.
+    """
+    ranged = store(records.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # one number a partition
     before, offsets = 0, []
     for p in sorted(sizes):
-        offsets += [F.lit(p), F.lit(before)]
+        offsets += [F.lit(p), F.lit(before).cast("bigint")]
         before += sizes[p]
+    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     offset = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
     return inside.withColumn("worker", F.pmod(offset + F.col("_at") - 1, F.lit(n)).cast("bigint")).drop("_part", "_at")
 

@@ -129,11 +129,16 @@ def skip_reasons(spark, sf):
     return build.reasons(records(spark, sf))
 
 
-@query("""select item_id as id, case when item_id % 3 = 0 then concat('case_', item_id % 20, '.json') when item_id % 3 = 1 then concat('doc', item_id, '_x.json') end as file from benchmark""")
+@query("""with b as (select item_id as id from benchmark),
+c as (select id, case when id % 3 = 0 then concat('s', id % 20) else 'none' end as seed,
+  case when id % 6 = 1 then concat(' oc', id, '_x.js ') when id % 6 = 4 then concat('c', id) when id % 6 = 5 then concat('c', id, '_x.jsonl') else '  ' end as source from b),
+f as (select concat('case_', id, '.json') as file, concat('s', id) as seed from b where id < 20 union all select concat('doc', id, '_x.json'), 'other' from b)
+select c.id, min(f.file) as file from c left join f on c.seed = f.seed or (trim(c.source) <> '' and contains(f.file, trim(c.source))) group by c.id""")
 def case_sidecar_match(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    source = lambda rest, head, tail: F.when(F.col("id") % 6 == rest, F.concat(F.lit(head), F.col("id"), F.lit(tail)))
     cases = b.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), F.col("id") % 20)).otherwise("none").alias("seed"),
-                     F.when(F.col("id") % 3 == 1, F.concat(F.lit(" doc"), F.col("id"))).alias("source"))
+                     F.coalesce(source(1, " oc", "_x.js "), source(4, "c", ""), source(5, "c", "_x.jsonl"), F.lit("  ")).alias("source"))
     by_seed = b.where("id < 20").select(F.concat(F.lit("case_"), "id", F.lit(".json")).alias("file"), F.concat(F.lit("s"), "id").alias("seed"))
     by_name = b.select(F.concat(F.lit("doc"), "id", F.lit("_x.json")).alias("file"), F.lit("other").alias("seed"))
     return build.match_sidecars(cases, by_seed.unionByName(by_name))
@@ -209,27 +214,26 @@ MD = "concat('intro ', conv_id, chr(10), '# First *', conv_id, '*', chr(10), tex
 
 
 def _markdown(spark, sf):
-    rows = table(spark, sf, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
-    return rows.select("conv_id", F.expr(MD.replace("chr(10)", "'\\n'")).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.expr(MD.replace("chr(10)", "'\n'")).alias("text"))
 
 
-@query(f"""with m as (select conv_id, min(text) as text from conversations where turn = 0 group by conv_id)
-select conv_id, 0 as ordinal, 'Preamble' as title, 0 as level, md5(concat('intro ', conv_id)) as text_md5 from m
-union all select conv_id, 1, concat('First *', conv_id, '*'), 1, md5(regexp_replace(concat('# First *', conv_id, '*', chr(10), text), '\\s+$', '')) from m
-union all select conv_id, 2, 'Second part', 2, md5(concat('## Second part', chr(10), 'b', chr(10), '#none')) from m""")
+@query(f"""with m as (select conv_id, turn, text from conversations)
+select conv_id, turn, 0 as ordinal, 'Preamble' as title, 0 as level, md5(concat('intro ', conv_id)) as text_md5 from m
+union all select conv_id, turn, 1, concat('First *', conv_id, '*'), 1, md5(regexp_replace(concat('# First *', conv_id, '*', chr(10), text), '\\s+$', '')) from m
+union all select conv_id, turn, 2, 'Second part', 2, md5(concat('## Second part', chr(10), 'b', chr(10), '#none')) from m""")
 def markdown_sections(spark, sf):
-    return chunks.sections(_markdown(spark, sf), "conv_id").withColumn("text_md5", F.md5("text")).drop("text")
+    return chunks.sections(_markdown(spark, sf), ["conv_id", "turn"]).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-@query("""with m as (select distinct conv_id from conversations where turn = 0)
-select conv_id, 'section' as segment_type, case when conv_id % 3 = 0 then concat('First *', conv_id, '*') else 'Second part' end as title from m where conv_id % 3 < 2
-union all select conv_id, case when conv_id % 2 = 0 then 'read_chunk' else 'full_document' end, case when conv_id % 2 = 0 then 'Structure chunk 1' else 'Full Document' end from m where conv_id % 3 = 2""")
+@query("""with m as (select conv_id, turn from conversations)
+select conv_id, turn, 'section' as segment_type, case when conv_id % 3 = 0 then concat('First *', conv_id, '*') else 'Second part' end as title from m where conv_id % 3 < 2
+union all select conv_id, turn, case when conv_id % 2 = 0 then 'read_chunk' else 'full_document' end, case when conv_id % 2 = 0 then 'Structure chunk 1' else 'Full Document' end from m where conv_id % 3 = 2""")
 def segment_match(spark, sf):
-    docs = _markdown(spark, sf)
+    docs, keys = _markdown(spark, sf), ["conv_id", "turn"]
     wanted = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("FIRST "), F.col("conv_id"))).when(F.col("conv_id") % 3 == 1, "part").otherwise("--")
-    found = chunks.matched_sections(chunks.sections(docs, "conv_id"), docs.select("conv_id", wanted.alias("title")), "conv_id")
-    reports = docs.select("conv_id", F.lit(0).alias("chunk_index"), (F.col("conv_id") % 2 == 0).alias("recommended"), "text")
-    return chunks.segments(docs, found, reports, "conv_id").drop("text")
+    found = chunks.matched_sections(chunks.sections(docs, keys), docs.select(*keys, wanted.alias("title")), keys)
+    reports = docs.select(*keys, F.lit(0).alias("chunk_index"), (F.col("conv_id") % 2 == 0).alias("recommended"), "text")
+    return chunks.segments(docs, found, reports, keys).drop("text")
 
 
 @query(r"select page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) as title from pages")
@@ -244,9 +248,9 @@ def html_to_markdown(spark, sf):
 
 @query()
 def xml_to_markdown(spark, sf):
-    rows = table(spark, sf, "conversations").where("turn = 0")
+    rows = table(spark, sf, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
     body = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    return files.xml_markdown(rows.select("conv_id", F.concat(F.lit("<a><b>"), body, F.lit("</b><c/></a>")).alias("xml")), "conv_id", "xml")
+    return files.xml_markdown(rows.select("key", F.concat(F.lit("<a><b>"), body, F.lit("</b><c/></a>")).alias("xml")), "key", "xml")
 
 
 @query("select nation_row as line, text from (select n_nationkey as nation_row, concat('| ', n_nationkey, ' | ', n_name, ' |') as text from nation) z union all values (-4, '# Nations'), (-3, ''), (-2, '| n_nationkey | n_name |'), (-1, '| --- | --- |')")
@@ -266,14 +270,10 @@ def _list(rows: list) -> str:
 LETTERS = ["I think A", "Option (c)", "b.", "answer: D", "Request failed: 401", "1", "x_A", "A-1", None, "", "  e "]
 
 
-@query(rf"""with v as (select * from (values {_list(LETTERS)}) t(i, x)), u as (select i, upper(trim(coalesce(x, ''))) as u from v)
-select i, case when regexp_matches(u, '\b[A-Z]\b') then regexp_extract(u, '\b([A-Z])\b', 1) else substr(u, 1, 1) end as letter from u
-union all select cast(1000 + conv_id * 100 + turn as integer), case when regexp_matches(upper(text), '\b[A-Z]\b') then regexp_extract(upper(text), '\b([A-Z])\b', 1) else substr(upper(text), 1, 1) end
-from conversations where regexp_matches(text, '^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$')""")
+@query()
 def option_letter(spark, sf):
-    some = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$"))
-    some = some.select((1000 + F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("i"), F.col("text").alias("x"))
-    return _values(spark, "x", "string", LETTERS).unionByName(some).select("i", T.option_letter(F.col("x")).alias("letter"))
+    every = table(spark, sf, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("i"), F.col("text").alias("x"))
+    return _values(spark, "x", "string", LETTERS).unionByName(every).select("i", T.option_letter(F.col("x")).alias("letter"))
 
 
 RISK_TEXTS = ["0", "1", "2", "3", "4", "s2", "Level S1.", "risk 3", "S3", "S2/S1", None, "", "True", "S0", "12", "1.0"]
