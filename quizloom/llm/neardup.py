@@ -164,11 +164,16 @@ def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     salts = F.ceil(F.col("times") / HOT).cast("int")
     left = rows.select("token", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *[F.col(k).alias(f"{k}u") for k in ("id", "c", "n", "at")])
     right = rows.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(k).alias(f"{k}v") for k in ("id", "c", "n", "at")])
+    alike = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
+    both = left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & alike)
     # At the first shingle that both hold, no more than the smaller rest can be common.
-    most = F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))
-    enough = (100 + PERCENT) * most >= PERCENT * (F.col("nu") + F.col("nv"))
-    both = left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & enough)
-    return both.groupBy(F.col("idu").alias("u"), F.col("idv").alias("v")).agg(F.count(F.lit(1)).alias("common"))
+    first = F.max(F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))).alias("first")
+    pairs = both.groupBy(F.col("idu").alias("u"), F.col("idv").alias("v")).agg(F.count(F.lit(1)).alias("common"), first, F.first("nu").alias("nu"), F.first("nv").alias("nv"))
+    # Of the two lists of forced shingles one ends first; what both sets hold up to there is in both lists, and
+    # no more than the rest of its set comes after.
+    rest = lambda n: F.ceil(PERCENT * F.col(n) / 100) - 1
+    most = F.least("first", F.col("common") + F.greatest(rest("nu"), rest("nv")))
+    return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("nu") + F.col("nv"))).select("u", "v", "common")
 
 
 def _hubs(pairs: DataFrame) -> DataFrame:
@@ -251,6 +256,13 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
 
 
+def _near_in_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sets aren't too different in size to be alike."""
+    of = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}")).hint("merge")
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.where(PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")).select(pairs.columns)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are alike enough."""
     of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
@@ -290,10 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = store(signed_documents(docs), "signed")
     shingled = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = store(
-        shingled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature")),
+        shingled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature"), F.any_value("n_shingles").alias("n_shingles")),
         "classes",
     )
-    pairs = store(candidates(classes.select("id", "signature")), "pairs")
+    pairs = store(_near_in_size(candidates(classes.select("id", "signature")), classes), "pairs")
     sets = _sets(docs, pairs)
     links = store(_linked(pairs.where(F.col("tree") < FIRST_TREES), sets), "links")
     joined = store(components(links), "joined")
