@@ -8,14 +8,19 @@ it.  Words are runs of letters and digits, lower-cased.
    taken where a shingle of the document is one of the benchmark's, aligned on it.
    A Bloom filter of the benchmark's shingles, a literal of the plan whose size is
    bounded by ``bits.MOST``, leaves few positions inside each row; an equi-join on
-   the shingle then leaves the real ones.
-2. The similarity can't reach ``SIMILARITY`` where all of an item's rarest shingles
-   that weigh more than a quarter of it are missing, so an equi-join of the windows'
-   shingles with those finds all pairs, whatever part of the item was left out.
-3. The exact similarity decides.  The distance of the 128-bit SimHashes of the words
-   is told with each match; it doesn't choose any.
-
-Texts are read once and don't cross the network; only the words around hits do.
+   the shingle then leaves the real ones.  The starts go back to their documents, so
+   each window is cut once.
+2. Every window and item gets a 128-bit SimHash of its words.  Of ``BLOCKS`` blocks
+   two hashes within ``RADIUS`` differ by one bit at most in one, so an equi-join of
+   the windows' blocks with the items' blocks and their neighbours by one bit finds
+   all pairs of one length within the radius.
+3. The radius leaves out a pair in a few hundred at the limit.  An equi-join of the
+   windows' shingles with each item's rarest shingles that weigh more than a quarter
+   of it finds all pairs that can reach ``SIMILARITY``, those included.
+4. The exact similarity decides.
+
+Texts don't cross the network, unless windows are in more documents than can be
+broadcast; the words of windows do.
 
 Defined results: a null or empty text, or one with fewer than five words, isn't
 contaminated; items of fewer than five words have no shingle and are not searched;
@@ -30,11 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.llm import bits
+from quizloom.llm.scratch import store
 
 WORDS = 5
 SIMILARITY = 0.75
 BLOCKS, BLOCK_BITS = 16, 8
-#: Contaminated documents are broadcast up to this many, and joined by shuffle beyond.
+RADIUS = 2 * BLOCKS - 1
+#: Contaminated documents, or windows to be cut, are broadcast up to this many, and joined by shuffle beyond.
 MAX_BROADCAST = 500_000
 
 
@@ -76,7 +83,7 @@ def simhash(words: Column) -> Column:
 
 
 def _blocks(fp: Column) -> Column:
-    """(number, value) of each block of a SimHash; those within 15 bits share one."""
+    """Number and value of each block of a SimHash, as one integer."""
     out = []
     for k in range(BLOCKS):
         part = F.shiftrightunsigned(F.get(fp, F.lit(k // 8)), BLOCK_BITS * (k % 8)).bitwiseAND(F.lit(255).cast("bigint"))
@@ -84,6 +91,12 @@ def _blocks(fp: Column) -> Column:
     return F.array(*out)
 
 
+def _near_blocks(fp: Column) -> Column:
+    """The blocks and all that differ from one by a bit; hashes within RADIUS of fp have a block among them."""
+    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(BLOCK_BITS)])
+    return F.flatten(F.transform(_blocks(fp), lambda x: F.transform(flips, lambda f: x.bitwiseXOR(f))))
+
+
 def distance(a: Column, b: Column) -> Column:
     return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(2))
 
@@ -119,48 +132,52 @@ def probes(items: DataFrame) -> DataFrame:
     return each.where(F.col("before") <= (1 - SIMILARITY) * F.col("whole")).select("item_id", "item_hash", F.xxhash64("g").alias("h"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document text and item that it holds: doc_id, text_hash, item_id, start (word, from 0), distance, similarity."""
-    items = benchmark_items(benchmark).persist()
-    places = items.select("item_id", F.size("words").alias("len"), F.posexplode(_shingles(F.col("words"))).alias("at", "h"))
+def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, start, len, window): runs of as many words as an item has, aligned on a shingle of it."""
+    places = items.select(F.size("words").alias("len"), F.posexplode(_shingles(F.col("words"))).alias("q", "h")).distinct()
     maybe = bits.table_of(places.select("h").distinct(), "h")
-    longest = items.agg(F.max(F.size("words"))).first()[0] or WORDS
-
     rows = docs.select("doc_id", "text", normal_words(F.col("text")).alias("words"))
     words = F.col("words")
     found = F.transform(F.col("hashes"), lambda h, i: F.when(maybe(h), i))
     rows = rows.withColumn("hashes", _shingles(words)).withColumn("hits", F.filter(found, lambda i: i.isNotNull()))
-
-    def around(i: Column) -> Column:
-        first = F.greatest(i - longest + 1, F.lit(0))
-        return F.struct(
-            i.alias("at"), F.get("hashes", i).alias("h"), first.alias("first"),
-            F.slice(words, first + 1, 2 * longest).alias("near"),
-        )
-
     # An outer explode: a filter on the arrays would be pushed down to the scan, and there it would
     # split the text again for every shingle.
-    hits = rows.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.size(words).alias("n"), F.explode_outer(F.transform("hits", around)).alias("e")
-    )
+    at = F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("hashes", i).alias("h")))
+    hits = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words).alias("n"), F.explode_outer(at).alias("e"))
     hits = hits.select("doc_id", "text_hash", "n", "e.*").where(F.col("h").isNotNull())
     start = F.greatest(F.least(F.col("at") - F.col("q"), F.col("n") - F.col("len")), F.lit(0))
-    windows = hits.join(places.select("h", "len", F.col("at").alias("q")).distinct(), "h").withColumn("start", start)
-    windows = windows.select(
-        "doc_id", "text_hash", "start", "len", F.expr("slice(near, start - first + 1, len)").alias("window")
+    starts = hits.join(places, "h").select("doc_id", "text_hash", F.struct(start.alias("start"), "len").alias("w"))
+    starts = store(starts.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("w").alias("_at")), "starts")
+    n = starts.agg(F.sum(F.size("_at") + 1)).first()[0] or 0
+    starts = F.broadcast(starts) if n <= MAX_BROADCAST else starts
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(starts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    each = texts.select("doc_id", "text_hash", normal_words(F.col("text")).alias("words"), "_at")
+    cut = F.transform("_at", lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"), F.slice(F.col("words"), w["start"] + 1, w["len"]).alias("window")))
+    windows = each.select("doc_id", "text_hash", F.explode(cut).alias("w")).select("doc_id", "text_hash", "w.*")
+    return windows.where(F.size("window") >= WORDS).dropDuplicates(["doc_id", "text_hash", "start", "len"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document text and item that it holds: doc_id, text_hash, item_id, start (word, from 0), distance, similarity."""
+    items = benchmark_items(benchmark).persist()
+    windows = _windows(docs, items).select(
+        F.struct("doc_id", "text_hash", "start", "len").alias("w"), "len", grams(F.col("window")).alias("mine"), simhash(F.col("window")).alias("fp")
     )
-    windows = windows.groupBy("doc_id", "text_hash", "start", "len").agg(F.any_value("window").alias("window"))
-    # The shingles are made on either side of the join: a filter on the similarity can't be pushed below it.
-    full = F.size("window") >= WORDS
-    windows = windows.where(full).withColumn("mine", grams(F.col("window")))
+    windows = store(windows, "windows")
     prints = items.select(
-        "item_id", F.xxhash64("words").alias("item_hash"), F.size("words").alias("len"), F.col("words").alias("item_words"), grams(F.col("words")).alias("theirs")
-    )
+        F.struct("item_id", F.xxhash64("words").alias("hash")).alias("item"), F.size("words").alias("len"), grams(F.col("words")).alias("theirs"), simhash(F.col("words")).alias("item_fp")
+    ).persist()
+    blocks = prints.select("item", "len", "item_fp", F.explode(_near_blocks(F.col("item_fp"))).alias("block"))
+    within = windows.select("w", "len", "fp", F.explode(_blocks(F.col("fp"))).alias("block")).join(blocks, ["len", "block"])
+    within = within.where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("w", "item")
+    rare = probes(items).select(F.struct("item_id", F.col("item_hash").alias("hash")).alias("item"), "h").join(prints.select("item", "len"), "item")
     hashes = F.array_distinct(F.transform("mine", lambda g: F.xxhash64(g)))
-    near = windows.withColumn("h", F.explode(hashes)).join(prints.join(probes(items), ["item_id", "item_hash"]), ["h", "len"])
-    near = near.dropDuplicates(["doc_id", "text_hash", "start", "len", "item_id", "item_hash"])
-    alike = near.withColumn("similarity", similarity(F.col("mine"), F.col("theirs"))).where(F.col("similarity") >= SIMILARITY)
-    alike = alike.withColumn("distance", distance(simhash(F.col("window")), simhash(F.col("item_words"))))
+    sharing = windows.select("w", "len", F.explode(hashes).alias("h")).join(rare, ["len", "h"]).select("w", "item")
+    pairs = within.unionByName(sharing).distinct()
+    alike = pairs.join(windows.select("w", "mine", "fp"), "w").join(prints.select("item", "theirs", "item_fp"), "item")
+    alike = alike.withColumn("similarity", similarity(F.col("mine"), F.col("theirs"))).where(F.col("similarity") >= SIMILARITY)
+    alike = alike.select("w.doc_id", "w.text_hash", "w.start", "item.item_id", "similarity", distance(F.col("fp"), F.col("item_fp")).alias("distance"))
     best = F.max_by(F.struct("start", "distance", "similarity"), F.struct("similarity", -F.col("start")))
     return alike.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
 

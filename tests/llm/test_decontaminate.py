@@ -75,12 +75,12 @@ def test_blocks_find_every_fingerprint_within_the_radius(spark):
     for n in range(400):
         a = [rng.getrandbits(64) for _ in range(2)]
         b = list(a)
-        for bit in rng.sample(range(128), n % 16):
+        for bit in rng.sample(range(128), n % 32):
             b[bit // 64] ^= 1 << bit % 64
         signed = lambda x: [v - (1 << 64) if v >> 63 else v for v in x]
-        rows.append((signed(a), signed(b), n % 16))
+        rows.append((signed(a), signed(b), n % 32))
     table = spark.createDataFrame(rows, "a array<long>, b array<long>, d int")
-    share = F.size(F.array_intersect(decontaminate._blocks(F.col("a")), decontaminate._blocks(F.col("b"))))
+    share = F.size(F.array_intersect(decontaminate._blocks(F.col("a")), decontaminate._near_blocks(F.col("b"))))
     out = table.select("d", decontaminate.distance(F.col("a"), F.col("b")).alias("got"), share.alias("share")).collect()
     assert all(r["d"] == r["got"] and r["share"] >= 1 for r in out)
 
@@ -98,3 +98,30 @@ def test_passages_cut_at_either_edge(spark):
     want = plain(docs, items)
     assert {d // 1000 for d, _ in want} == {14, 20, 30, 40, 59} and min(want.values()) < 0.77
     assert told(spark, docs, items) == want
+
+
+def test_recall_by_band_and_of_the_radius(spark):
+    import random
+
+    rng = random.Random(7)
+    items, docs = [], []
+    for n in (20, 60, 200, 600):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(24):
+            w = list(item)
+            lost = rng.randrange(1, max(2, n // 8))
+            if k % 2:
+                w[:lost] = [f"d{n}k{k}x{i}" for i in range(lost)]
+            else:
+                for i in rng.sample(range(n), max(1, lost // 5)):
+                    w[i] = f"d{n}k{k}x{i}"
+            around = [[f"d{n}k{k}p{p}x{i}" for i in range(40)] for p in (0, 1)]
+            docs.append((1000 * n + k, " ".join(around[0] + w + around[1])))
+    want = plain(docs, items)
+    bands = [sum(a <= s < b for s in want.values()) for a, b in ((0.75, 0.8), (0.8, 0.9), (0.9, 1))]
+    assert all(bands), bands
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == want
+    assert sum(r["distance"] <= decontaminate.RADIUS for r in got) >= 0.97 * len(want)
