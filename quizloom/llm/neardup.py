@@ -14,9 +14,11 @@
 6. What the forest missed is found exactly.  Two sets of similarity 0.75 share one of
    the first quarter of their shingles, whatever the order of all shingles is, and
    the order here puts frequent ones last.  Classes of different components that
-   share such a shingle, and whose sizes and places of it allow 0.75, are confirmed:
-   first each with the partner that most others meet and with the one it shares most
-   with, which joins a star to its centre, then all pairs that are still apart.
+   share such shingles, and whose sizes, places and number of shared ones allow 0.75,
+   are confirmed.  First each meets the lowest or highest component at its shingles,
+   which is one pair a row and joins most groups; then all that are still apart meet.
+   Of the pairs those with the partner that most others meet, and with the one that
+   shares most, go first, which joins a star to its centre.
 
 The forest only saves work in step 6: a pair at similarity s shares a prefix of two
 in one of t trees with probability 1 - (1 - s^2)^t, but it is a candidate only as a
@@ -47,8 +49,8 @@ REGION = 1000
 NEIGHBOURS = 2
 #: Trees whose candidates are confirmed first.
 FIRST_TREES = 2
-#: Shingles of about this many documents tell which are frequent.  They only set an order, so they never change a result.
-ORDER_SAMPLE, MOST_FREQUENT = 20_000, 50_000
+#: The shingles of one in so many documents tell which are frequent, and so many at most are told.  They only set an order, so they never change a result.
+ORDER_SAMPLE, MOST_FREQUENT = 8, 1 << 20
 #: Rows of one shingle that a task of the exact join takes from one side.
 HOT = 1000
 #: Links have 100 * intersection >= PERCENT * union.
@@ -111,8 +113,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are in three documents or more of a sample, sorted, with their counts."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The MOST_FREQUENT shingles at most that are in most documents of a sample, sorted, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +122,13 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 every = np.concatenate(words.shingle_sets(some, WORDS))
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["token"])
 
-    share = max(1, -(-n // ORDER_SAMPLE))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(21), "doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "token long")
-    counts = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
-    token, count = (counts.column(k).to_numpy() for k in ("token", "n"))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(21), "doc_id"), F.lit(ORDER_SAMPLE)) == 0).select("text").mapInArrow(run, "token long")
+    counts = store(sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequent")
+    at_least = [F.coalesce(F.sum((F.col("n") >= 2**k).cast("long")), F.lit(0)).alias(f"k{k}") for k in range(1, 50)]
+    whole = counts.agg(*at_least).first()
+    least = 2 ** next(k for k in range(1, 50) if whole[f"k{k}"] <= MOST_FREQUENT)
+    listed = counts.where(F.col("n") >= least).toArrow()
+    token, count = (listed.column(k).to_numpy() for k in ("token", "n"))
     token = token.astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], count[order].astype(np.int64)
@@ -138,10 +143,9 @@ def forced(s: np.ndarray, token: np.ndarray, count: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, times))][: len(s) - -(-PERCENT * len(s) // 100) + 1]
 
 
-def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """All pairs (u, v, common) of classes in different components that may be alike enough; no link is left out."""
-    token, count = _frequent(docs, classes.count())
-    shared = docs.sparkSession.sparkContext.broadcast((token, count))
+def _forced_rows(docs: DataFrame) -> DataFrame:
+    """Rows (id, n, at, token): the forced shingles of each document, in their order, and the size of its set."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,21 +158,40 @@ def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), tokens], names=["id", "n", "tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("id").isNotNull())
-    of = classes.select("id").join(joined.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
-    rows = texts.mapInArrow(run, "id long, n int, tokens array<long>").join(of.select("id", F.coalesce("component", "id").alias("c")), "id")
-    rows = rows.select("id", "c", "n", F.posexplode("tokens").alias("at", "token"))
+    return texts.mapInArrow(run, "id long, n int, tokens array<long>")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (id, c, n, at, token) whose shingle is in several components c, with times: how many rows have it."""
     same = Window.partitionBy("token")
     rows = rows.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("times"))
-    rows = store(rows.where("low != high").drop("low", "high"), "mixed")
-    # A frequent shingle is dealt to many tasks: one side by its id, the other to each.
-    salts = F.ceil(F.col("times") / HOT).cast("int")
-    left = rows.select("token", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *[F.col(k).alias(f"{k}u") for k in ("id", "c", "n", "at")])
-    right = rows.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(k).alias(f"{k}v") for k in ("id", "c", "n", "at")])
-    alike = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
-    both = left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & alike)
+    return store(rows.where("low != high").drop("low", "high"), "mixed")
+
+
+def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (id, c, n, at, token, times) by which the classes of different components meet that may be alike enough."""
+    of = classes.select("id").join(joined.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+    rows = _forced_rows(docs).join(of.select("id", F.coalesce("component", "id").alias("c")), "id")
+    return _mixed(rows.select("id", "c", "n", F.posexplode("tokens").alias("at", "token")))
+
+
+def _still_mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The same rows with the components as they are now."""
+    now = joined.select(F.col("node").alias("id"), "component").hint("merge")
+    rows = rows.drop("times").join(now, "id", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+    return _mixed(rows)
+
+
+_SIDE = ("id", "c", "n", "at")
+
+
+def _alike(both: DataFrame) -> DataFrame:
+    """Pairs (u, v, common) of rows that meet at a shingle (id, c, n and at of u and v), if they can be alike enough; no link is left out."""
+    sizes = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
     # At the first shingle that both hold, no more than the smaller rest can be common.
     first = F.max(F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))).alias("first")
-    pairs = both.groupBy(F.col("idu").alias("u"), F.col("idv").alias("v")).agg(F.count(F.lit(1)).alias("common"), first, F.first("nu").alias("nu"), F.first("nv").alias("nv"))
+    pairs = both.where(sizes).groupBy(F.col("idu").alias("u"), F.col("idv").alias("v"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("common"), first, F.first("nu").alias("nu"), F.first("nv").alias("nv"))
     # Of the two lists of forced shingles one ends first; what both sets hold up to there is in both lists, and
     # no more than the rest of its set comes after.
     rest = lambda n: F.ceil(PERCENT * F.col(n) / 100) - 1
@@ -176,6 +199,29 @@ def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("nu") + F.col("nv"))).select("u", "v", "common")
 
 
+def _with_outermost(rows: DataFrame) -> DataFrame:
+    """Each row with the one of the lowest other component at its shingle, or of the highest: a pair for each row."""
+    same, row = Window.partitionBy("token"), F.struct("c", "id", "n", "at")
+    rows = rows.withColumn("low", F.min(row).over(same)).withColumn("high", F.max(row).over(same))
+    rows = rows.withColumn("o", F.when(F.col("c") == F.col("low.c"), F.col("high")).otherwise(F.col("low")))
+    # The smaller id is u, so that the shingles of a pair are counted together.
+    ordered = F.col("id") < F.col("o.id")
+    sides = [F.when(ordered, F.col(k)).otherwise(F.col(f"o.{k}")).alias(f"{k}u") for k in _SIDE]
+    sides += [F.when(ordered, F.col(f"o.{k}")).otherwise(F.col(k)).alias(f"{k}v") for k in _SIDE]
+    # Both rows of a pair may name each other at one shingle, which counts once.
+    return rows.select(*sides, "token").distinct()
+
+
+def _with_all(rows: DataFrame) -> DataFrame:
+    """Each row with all others of other components at its shingle; a frequent shingle is dealt to many tasks."""
+    salts = F.ceil(F.col("times") / HOT).cast("int")
+    # One side by its id, the other to each.
+    left = rows.select("token", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *[F.col(k).alias(f"{k}u") for k in _SIDE])
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(k).alias(f"{k}v") for k in _SIDE])
+    alike = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
+    return left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & alike)
+
+
 def _hubs(pairs: DataFrame) -> DataFrame:
     """For each class the pair with the partner that most others meet, and the one that has most in common with it."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "common"))
@@ -313,13 +359,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = store(_linked(_apart(pairs.where(F.col("tree") >= FIRST_TREES), joined), sets), "links")
     if not more.isEmpty():
         joined = store(extended(joined, more), "joined")
-    pairs = store(missed(docs, classes, joined), "missed")
-    if not pairs.isEmpty():
+    rows = missed(docs, classes, joined)
+    for meet in (_with_outermost, _with_all):
+        before = joined
+        pairs = store(_alike(meet(rows)), "missed")
+        if pairs.isEmpty():
+            continue
         sets = _sets(docs, pairs)
         for some in (_hubs, lambda p: p):
             more = store(_linked(some(_apart(pairs, joined)), sets), "links")
             if not more.isEmpty():
                 joined = store(extended(joined, more), "joined")
+        if meet is _with_outermost and joined is not before:
+            rows = _still_mixed(rows, joined)
     joined = joined.withColumnRenamed("node", "id")
     told = classes.join(joined.hint("merge"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     return (

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from quizloom.llm import components as cc
 from quizloom.llm import neardup
@@ -79,7 +80,9 @@ def test_empty_table_and_null_ids(spark):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, cc.ONE_TASK])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(cc, "ONE_TASK", one_task)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(500, i) for i in range(501, 540)]
     got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -94,6 +97,7 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert cc.components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
 
 
 def test_copies_that_are_only_alike_to_the_original(spark):
