@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import values as V
@@ -55,3 +55,9 @@ def grid_for(width: Column, height: Column, least: int = 2, most: int = 6) -> Co
     grids = [F.struct(F.lit(c).alias("columns"), F.lit(r).alias("rows")) for c, r in sorted(sizes, key=lambda s: s[0] * s[1])]
     scored = F.transform(F.array(*grids), lambda g: F.struct(F.abs(width / height - g["columns"] / g["rows"]).alias("d"), (g["columns"] * g["rows"]).alias("n"), g.alias("g")))
     return F.array_min(scored)["g"]
+
+
+def kept_page_numbers(pages: DataFrame, key: str = "doc_id", page: str = "page", end: str = V.END_OF_TEXT) -> DataFrame:
+    """The finished pages with kept: their number from 0 among those of their document."""
+    order = Window.partitionBy(key).orderBy(page)
+    return finished_pages(pages, end).withColumn("kept", F.row_number().over(order) - 1)

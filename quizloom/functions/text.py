@@ -202,3 +202,10 @@ def round_half_even(c: Column, digits: int = 2) -> Column:
 
 def two_decimals(c: Column) -> Column:
     return F.coalesce(F.replace(F.format_number(c, 2), F.lit(","), F.lit("")), F.lit(""))
+
+
+def merge_maps(a: Column, b: Column) -> Column:
+    """The entries of both maps; b's take the place of a's.  A null map is empty."""
+    b = F.coalesce(b, F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(F.coalesce(a, F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(b, k))
+    return F.map_concat(kept, b)

@@ -112,3 +112,20 @@ def merge_summary(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     ranked = both.withColumn("_n", F.row_number().over(last)).withColumn("_at", F.min(F.struct("_new", "ordinal")).over(key))
     kept = ranked.where("_n = 1").drop("_n", "ordinal")
     return kept.select("question_type", "path", F.col("_at._new").alias("appended"), F.col("_at.ordinal").alias("ordinal"), "payload")
+
+
+#: Characters of an error that a fallback record tells.
+ERROR_CHARS = 1000
+
+
+def with_metadata(docs: DataFrame, told: Column, error: Column) -> DataFrame:
+    """docs with metadata: what the model told, else empty fields with a warning that holds the error's first characters."""
+    names = ("Name", "Date", "Authors", "Brief Description", "Type")
+    field = lambda n: F.coalesce(told[n], F.lit("")).alias(n)
+    warning = F.when(told.isNull(), F.substring(F.coalesce(error, F.lit("")), 1, ERROR_CHARS)).otherwise("").alias("Metadata Warning")
+    return docs.withColumn("metadata", F.struct(*map(field, names), warning))
+
+
+def attach_tags(items: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
+    """items with the tags of their keys; those without get null."""
+    return items.join(tags.select(*keys, "tags"), keys, "left")

@@ -65,3 +65,16 @@ def token_usage(completions: DataFrame) -> DataFrame:
 
 def discipline_table(spark) -> DataFrame:
     return spark.createDataFrame(list(V.DISCIPLINES.items()), "number int, name string")
+
+
+def limited(records: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first n records in order; all without a limit, or with one below 1."""
+    return records.orderBy(order).limit(n) if n and n > 0 else records
+
+
+def throughput(log: DataFrame, total: int) -> DataFrame:
+    """log: rows (stage, finished_at as seconds).  Of each stage: done, per_second and the seconds that are left at that rate."""
+    rows = log.groupBy("stage").agg(F.count(F.lit(1)).alias("done"), (F.max("finished_at") - F.min("finished_at")).cast("double").alias("_s"))
+    rate = F.when(F.col("_s") > 0, F.col("done") / F.col("_s"))
+    left = F.greatest(F.lit(total) - F.col("done"), F.lit(0)) / rate
+    return rows.select("stage", "done", rate.alias("per_second"), left.alias("seconds_left"))

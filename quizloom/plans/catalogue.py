@@ -9,11 +9,14 @@ from quizloom.functions import ocr
 from quizloom.functions import text as T
 from quizloom.functions import values as V
 from quizloom.operators import build, chunks, questions, scoring, tasks
+from quizloom.plans import model_queries
 from quizloom.plans.fixtures import SCORES_SQL, items, records, responses, table
-from quizloom.sources import files, sinks
+from quizloom.sources import files, scratch, sinks
+from quizloom.sources import records as run_records
+from quizloom.streaming import buffer
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(model_queries.QUERIES)
+ORACLES: dict[str, str] = dict(model_queries.ORACLES)
 
 
 def query(sql: str | None = None):
@@ -445,3 +448,85 @@ def bounded_refinement(spark, sf):
     again = lambda rows, i: rows.withColumn("text", F.lit(f"v{i}"))
     ok = F.col("need") <= F.substring("text", 2, 9).cast("int")
     return questions.refine(start, ok, again).select("doc_id", "text")
+
+
+def _summary(turn):
+    head, rest = '{"processed_files": [{"question_type": "MCQ", "n": ', '}, {"n": 0}, 3], "SAQ": [{"n": 1}, "x"]'
+    return F.concat(F.lit(head), turn, F.lit(rest), F.when(turn % 2 == 0, ', "MCQ": []').otherwise(""), F.lit(', "other": 5}'))
+
+
+@query("""with c as (select conv_id * 100 + turn as id, turn from conversations)
+select id, 'SAQ' as question_type, 0 as ordinal, '1' as n from c union all select id, 'Unknown', 0, '0' from c union all select id, 'MCQ', 0, cast(turn as varchar) from c where turn % 2 = 1""")
+def summary_scan(spark, sf):
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), _summary(F.col("turn")).alias("payload"))
+    return run_records.summary_items(rows, "id", "payload").select("id", "question_type", "ordinal", F.get_json_object("item", "$.n").alias("n"))
+
+
+@query("select conv_id * 100 + turn as id, 's' || turn as source_path, case when turn % 2 = 0 then 'done' else '' end as status from conversations")
+def resume_scan(spark, sf):
+    record = run_records.resume_record(source_path=F.lit("s"), status=F.when(F.col("turn") % 2 == 0, "done"))
+    body = F.concat(F.lit('{"s'), "turn", F.lit('": '), record, F.lit(', "bad": 3}'))
+    payload = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"records": '), body, F.lit("}"))).otherwise(body)
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), payload.alias("payload"))
+    found = run_records.resume_index(rows, "id", "payload")
+    return found.select("id", "source_path", F.get_json_object("record", "$.status").alias("status"))
+
+
+@query(r"select page_id, concat('/out/', regexp_replace(case when starts_with(p, 'http://a/') then substr(p, 10) else regexp_extract(p, '([^/]*)$', 1) end, '(^|[^/])\.[^./]*$', '\1'), '.qa.json') as path from (select page_id, case when page_id % 2 = 0 then concat('http://a/x.y/', page_id, '.d.mmd') else concat('/b/c/', page_id, '.mmd') end as p from pages) z")
+def qa_paths(spark, sf):
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("http://a/x.y/"), "page_id", F.lit(".d.mmd"))).otherwise(F.concat(F.lit("/b/c/"), "page_id", F.lit(".mmd")))
+    return table(spark, sf, "pages").select("page_id", run_records.output_path(path, "http://a", "/out/", ".qa.json").alias("path"))
+
+
+@query("select conv_id, turn, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as kept from conversations where turn % 3 <> 2")
+def kept_pages(spark, sf):
+    end = F.when(F.col("turn") % 3 != 2, F.concat("text", F.lit(V.END_OF_TEXT))).otherwise(F.col("text"))
+    return ocr.kept_page_numbers(table(spark, sf, "conversations").withColumn("text", end), "conv_id", "turn").select("conv_id", "turn", "kept")
+
+
+@query("select event_id, map_entries(case when event_id % 2 = 0 then map {'a': 'x', 'b': cast(user_id as varchar)} else map {'a': 'x', 'b': 'y', 'c': event_type} end)[2].value as b from events")
+def merge_settings(spark, sf):
+    left = F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("y"))
+    right = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.col("user_id").cast("string"))).otherwise(F.create_map(F.lit("c"), F.col("event_type")))
+    return table(spark, sf, "events").select("event_id", F.element_at(T.merge_maps(left, right), "b").alias("b"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then '' else 'T' || doc_id end as name, case when doc_id % 3 = 0 then repeat('e', 1000) else '' end as warning from documents")
+def metadata_fallback(spark, sf):
+    name = F.concat(F.lit("T"), F.col("doc_id"))
+    told = F.when(F.col("doc_id") % 3 != 0, F.struct(name.alias("Name"), *[F.lit(None).cast("string").alias(n) for n in ("Date", "Authors", "Brief Description", "Type")]))
+    rows = build.with_metadata(table(spark, sf, "documents").select("doc_id"), told, F.repeat(F.lit("e"), F.lit(2000)))
+    return rows.select("doc_id", "metadata.Name", F.col("metadata.`Metadata Warning`").alias("warning")).withColumnRenamed("Name", "name")
+
+
+@query("select b.item_id, l.quality as tags from benchmark b left join labels l on l.doc_id = b.item_id and l.toxic = 0")
+def attach_tags(spark, sf):
+    tags = table(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("tags"))
+    return build.attach_tags(table(spark, sf, "benchmark").select("item_id"), tags, ["item_id"])
+
+
+@query("select doc_id from documents order by doc_id limit 25")
+def record_limit(spark, sf):
+    return tasks.limited(table(spark, sf, "documents").select("doc_id"), "doc_id", 25)
+
+
+@query("select event_type as stage, count(*) as done, case when max(event_id) > min(event_id) then count(*) / cast(max(event_id) - min(event_id) as double) end as per_second, case when max(event_id) > min(event_id) then greatest(100000 - count(*), 0) / (count(*) / cast(max(event_id) - min(event_id) as double)) end as seconds_left from events group by 1")
+def stage_throughput(spark, sf):
+    return tasks.throughput(table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("finished_at")), 100_000)
+
+
+@query("select md5(url) as item_id, url as source_path, 'completed' as status from pages where page_id % 10 <> 3")
+def buffer_stream(spark, sf):
+    """Every page through the queue: enqueued as files, drained as a checkpointed stream, every tenth failing."""
+    root = scratch.new_dir(spark, "stream")
+    pages = table(spark, sf, "pages")
+    rows = pages.select(F.col("url").alias("source_path"), F.concat("page_id", F.lit(".mmd")).alias("markdown_path"), F.concat("page_id", F.lit(".json")).alias("metadata_path"), F.lit("MCQ").alias("Type"))
+    sinks.enqueue(rows, f"{root}/new")
+
+    def process(items: DataFrame) -> DataFrame:
+        bad = F.col("markdown_path").rlike(r"3\.mmd$")
+        return items.withColumn("status", F.when(bad, "failed").otherwise("completed")).withColumn("error", F.when(bad, "no text"))
+
+    work = buffer.drain(buffer.queue(spark, f"{root}/new"), process, f"{root}/done", f"{root}/failed", f"{root}/checkpoint")
+    work.awaitTermination()
+    return buffer.latest(spark, f"{root}/done").select("item_id", "source_path", "status")

@@ -22,10 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/quizloom/{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new folder in the shared one and read again, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quizloom/{name}-{uuid.uuid4().hex}"
+    path = new_dir(spark, name)
     df.write.parquet(path)
     _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -36,9 +41,13 @@ def stored() -> list[str]:
     return list(_stored)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Removes stored folders; nothing that is still to be computed may read them."""
     for path in paths:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
         _stored.remove(path)

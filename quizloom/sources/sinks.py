@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
+from quizloom.sources.scratch import delete
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -61,3 +62,17 @@ def queue_items(records: DataFrame) -> DataFrame:
 
 def enqueue(records: DataFrame, landing: str) -> None:
     queue_items(records).write.mode("append").json(landing)
+
+
+def write_texts(docs: DataFrame, path: str, key: str, text: str) -> None:
+    """One folder of text files for each key; for Markdown of documents."""
+    docs.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def replace_or_remove(df: DataFrame, path: str, columns: list[str]) -> bool:
+    """A report as CSV; where it has no rows, an older one at path is removed.  Whether there are rows."""
+    if df.isEmpty():
+        delete(df.sparkSession, path)
+        return False
+    write_csv(df, path, columns)
+    return True
