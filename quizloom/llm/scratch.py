@@ -1,25 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from quizloom.sources.scratch import remove, shared_dir, store, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quizloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to a new folder in the shared one and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quizloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["remove", "shared_dir", "store", "stored"]
