@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
 kept.  ``run`` writes each stage's rows as Parquet in the shared folder and reads
 them again, so a lost executor never costs more than one stage.
+
+Defined results: null and empty texts pass every stage; a null doc_id is scored and
+searched by its text and is no near-duplicate of anything; repeated rows are kept or
+dropped together, but for near-duplicates, which are dropped by doc_id; an empty table
+gives an empty result; further columns stay, whatever their names, but copy and
+shuffle_key, which the last stage writes.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm import decontaminate, mixing, neardup, secret_scan, toxicity
-from quizloom.llm.scratch import store
+from quizloom.llm.scratch import remove, store, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +53,16 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: The models and the candidate search have no SQL; tests hold the stages against brute force.
+#: The models and the candidate search have no SQL; tests hold each stage against brute force or its operator's query.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = stored()
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
+        # What the stage wrote on its way, and the rows of the one before it, aren't read any more.
+        *done, _ = [path for path in stored() if path not in before]
+        remove(spark, done)
     return docs.select("doc_id", "copy", "source", "lang", "n_chars", F.sha2("text", 256).alias("text_sha256"), "shuffle_key")
