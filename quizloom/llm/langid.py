@@ -5,9 +5,10 @@ trigrams score those that remain; Viterbi with a penalty for every switch labels
 the words of a document, and the language of most letters is the document's.
 
 Counts of trigrams and scripts are taken over all training rows, combined in each
-task and then by a shuffle.  The model has ``BUCKETS`` numbers a language, and
-``MAX_LANGUAGES`` languages at most, so its size is bounded; it is broadcast, and
-all documents are labelled in one pass without a shuffle.
+task and then by a shuffle.  The model has ``2 ** BITS`` numbers a language; beyond
+``MOST_NUMBERS`` in all, which takes over 400 languages, languages have fewer, so its
+size is bounded and no language is left out.  It is broadcast, and all documents are
+labelled in one pass without a shuffle.
 
 Training rows have a lang, and crc32(doc_id as text) mod 3 is not 1.  lang, source
 and doc_id are no inputs of a prediction.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quizloom.llm import words
 
-BUCKETS = 1 << 15
-MAX_LANGUAGES = 400
+BITS, LEAST_BITS = 15, 8
+MOST_NUMBERS = 400 << 15
 SWITCH = 12.0
 #: Up to so many languages texts are labelled in blocks of so many words, beyond that word by word.
 FEW_LANGUAGES, BLOCK = 16, 32
@@ -41,7 +42,8 @@ SMOOTH = 0.1
 UNKNOWN = "und"
 
 #: Script of a letter by the first byte of its UTF-8 form: Latin 1, Greek 2, Cyrillic 3, Armenian 4, Hebrew 5,
-#: Arabic 6, Indic and Thai 7, other Asian 8, kana 9, Han 10, Hangul 11, beyond the basic plane 12; 0 for none.
+#: Arabic 6, Indic 7, other Asian 8, kana 9, Han 10, Hangul 11, beyond the basic plane 12; 0 for none.  The second byte
+#: tells Thai and Lao (13) after 0xE0, and the later Latin and Greek letters after 0xE1.
 _RANGES = (
     (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 4), (0xD6, 0xD7, 5),
     (0xD8, 0xDD, 6), (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11), (0xF0, 0xF4, 12),
@@ -49,7 +51,8 @@ _RANGES = (
 _SCRIPT = np.zeros(256, np.int8)
 for _lo, _hi, _script in _RANGES:
     _SCRIPT[_lo : _hi + 1] = _script
-SCRIPTS = 13
+_SECOND = ((0xE0, 0xB8, 0xBB, 13), (0xE1, 0xB8, 0xBB, 1), (0xE1, 0xBC, 0xBF, 2))
+SCRIPTS = 14
 
 
 def learnable(doc_id: Column) -> Column:
@@ -59,11 +62,19 @@ def learnable(doc_id: Column) -> Column:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # BUCKETS x languages, log probabilities
+    weights: np.ndarray  # buckets x languages, log probabilities
     allowed: np.ndarray  # SCRIPTS x languages
 
 
-def _trigrams(run: words.Run) -> np.ndarray:
+def bits_for(n_languages: int) -> int:
+    """Bits of a bucket's number."""
+    bits = BITS
+    while bits > LEAST_BITS and n_languages << bits > MOST_NUMBERS:
+        bits -= 1
+    return bits
+
+
+def _trigrams(run: words.Run, bits: int) -> np.ndarray:
     """Bucket of the trigram that begins one byte before each byte; what is no letter counts as a space."""
     padded = np.full(len(run.data) + 2, 32, np.uint32)
     padded[1:-1] = run.data
@@ -71,11 +82,17 @@ def _trigrams(run: words.Run) -> np.ndarray:
     edge = run.offsets[1:-1]
     code = padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
     code[edge[edge < len(code)]] &= 0x00FFFF  # the text before is not part of it
-    return (code * np.uint32(0x9E3779B1) >> np.uint32(17)).astype(np.int64)
+    return (code * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _scripts(run: words.Run) -> np.ndarray:
-    return np.maximum.reduceat(_SCRIPT[run.data], run.start) if len(run.start) else np.zeros(0, np.int8)
+    if not len(run.start):
+        return np.zeros(0, np.int8)
+    script, second = _SCRIPT[run.data], run.data[1:]
+    for lead, lo, hi, other in _SECOND:
+        at = np.flatnonzero(run.data[:-1] == lead)
+        script[at[(second[at] >= lo) & (second[at] <= hi)]] = other
+    return np.maximum.reduceat(script, run.start)
 
 
 def _bytes_of_words(run: words.Run) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +103,19 @@ def _bytes_of_words(run: words.Run) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(languages: list[str]):
-    index = {x: i for i, x in enumerate(languages)}
+    index, bits = {x: i for i, x in enumerate(languages)}, bits_for(len(languages))
+    buckets = 1 << bits
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS + SCRIPTS), np.int64)
+        total = np.zeros((len(languages), buckets + SCRIPTS), np.int64)
         for batch in batches:
             label = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
             for run in words.runs(batch.column("text"), lower=True, letters=True):
                 at, word = _bytes_of_words(run)
                 of_word = label[run.lo + run.row_of_word()]
-                flat = of_word[word] * total.shape[1] + _trigrams(run)[at]
+                flat = of_word[word] * total.shape[1] + _trigrams(run, bits)[at]
                 total += np.bincount(flat, minlength=total.size).reshape(total.shape)
-                flat = of_word * total.shape[1] + BUCKETS + _scripts(run)
+                flat = of_word * total.shape[1] + buckets + _scripts(run)
                 total += np.bincount(flat, minlength=total.size).reshape(total.shape)
         which, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -109,16 +127,15 @@ def _count(languages: list[str]):
 
 def fit(docs: DataFrame) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"))).select("text", "lang")
-    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]
+    buckets = 1 << bits_for(len(languages))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((SCRIPTS, 0), bool))
+        return Model([], np.zeros((buckets, 0)), np.zeros((SCRIPTS, 0), bool))
     counts = known.mapInArrow(_count(languages), "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
-    total = np.zeros((len(languages), BUCKETS + SCRIPTS))
+    total = np.zeros((len(languages), buckets + SCRIPTS))
     total[table.column("language").to_numpy(), table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    grams, scripts = total[:, :BUCKETS] + SMOOTH, total[:, BUCKETS:]
+    grams, scripts = total[:, :buckets] + SMOOTH, total[:, buckets:]
     weights = np.log(grams / grams.sum(1, keepdims=True)).T
     allowed = (scripts >= LEAST_SHARE * scripts.sum(1, keepdims=True)) & (scripts > 0)
     return Model(languages, np.ascontiguousarray(weights), allowed.T)
@@ -229,7 +246,7 @@ def _side_by_side(emitted: np.ndarray, first: np.ndarray, switch: float) -> np.n
 def label_words(texts: pa.Array, model: Model) -> Iterator[tuple[words.Run, np.ndarray]]:
     """Each run of texts with the label of every word."""
     for run in words.runs(texts, lower=True, letters=True, limit=max(1 << 14, (1 << 22) // (2 * max(4, len(model.languages))))):
-        weights = model.weights[_trigrams(run)]
+        weights = model.weights[_trigrams(run, int(model.weights.shape[0]).bit_length() - 1)]
         sums = np.zeros((len(weights) + 1, weights.shape[1]))
         np.cumsum(weights, 0, out=sums[1:])
         emitted = sums[run.stop] - sums[run.start]

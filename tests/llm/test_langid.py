@@ -38,6 +38,46 @@ def test_viterbi_finds_the_best_path():
                 assert abs(cost(label[a:b].tolist()) - best) < 1e-9
 
 
+def best_score(e, switch):
+    now = e[0].copy()
+    for row in e[1:]:
+        now = np.maximum(now, now.max() - switch) + row
+    return now.max()
+
+
+def test_viterbi_over_blocks_and_many_languages():
+    rng = np.random.default_rng(4)
+    for n_labels in (1, 2, 5, 16, 17, 40):
+        sizes = np.array([0, 1, 31, 32, 33, 64, 100, 257])
+        e = rng.normal(size=(sizes.sum(), n_labels)) * 4
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        label = langid.viterbi(e, first, 6.0)
+        for a, b in zip(first[:-1], first[1:]):
+            if b > a:
+                path = label[a:b]
+                score = e[np.arange(a, b), path].sum() - 6.0 * (path[1:] != path[:-1]).sum()
+                assert abs(score - best_score(e[a:b], 6.0)) < 1e-9, (n_labels, b - a)
+
+
+def test_scripts_by_their_second_byte():
+    import pyarrow as pa
+
+    run = next(langid.words.runs(pa.array(["việt ἀρχή ไทย हिन्दी და"]), lower=True, letters=True))
+    assert langid._scripts(run).tolist() == [1, 2, 13, 7, 8]
+
+
+def test_many_languages_share_the_numbers(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_NUMBERS", 40 << 10)
+    assert langid.bits_for(40) == 10 and langid.bits_for(10**6) == langid.LEAST_BITS
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(6)
+    stock = {f"l{k:02d}": [letters[k % 26] + letters[k // 26] + "".join(rng.choice(letters) for _ in range(4)) for _ in range(20)] for k in range(40)}
+    rows = [(i, texts_of(rng, stock[f"l{i % 40:02d}"], 40), f"l{i % 40:02d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 390
+
+
 def texts_of(rng, stock, n):
     return " ".join(rng.choice(stock) for _ in range(n))
 
