@@ -15,7 +15,7 @@
    the first quarter of their shingles, whatever the order of all shingles is, and
    the order here puts frequent ones last.  Classes of different components that
    share such shingles, and whose sizes, places and number of shared ones allow 0.75,
-   are confirmed.  First each meets the lowest or highest component at its shingles,
+   are confirmed on the full sets.  First each meets the lowest or highest component at its shingles,
    which is one pair a row and joins most groups; then all that are still apart meet.
    Of the pairs those with the partner that most others meet, and with the one that
    shares most, go first, which joins a star to its centre.
@@ -32,10 +32,11 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,9 +144,8 @@ def forced(s: np.ndarray, token: np.ndarray, count: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, times))][: len(s) - -(-PERCENT * len(s) // 100) + 1]
 
 
-def _forced_rows(docs: DataFrame) -> DataFrame:
-    """Rows (id, n, at, token): the forced shingles of each document, in their order, and the size of its set."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+def _forced_rows(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows (id, n, tokens): the forced shingles of each document, in their order, and the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,10 +168,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return store(rows.where("low != high").drop("low", "high"), "mixed")
 
 
-def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame, shared: Broadcast) -> DataFrame:
     """Rows (id, c, n, at, token, times) by which the classes of different components meet that may be alike enough."""
     of = classes.select("id").join(joined.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
-    rows = _forced_rows(docs).join(of.select("id", F.coalesce("component", "id").alias("c")), "id")
+    rows = _forced_rows(docs, shared).join(of.select("id", F.coalesce("component", "id").alias("c")), "id")
     return _mixed(rows.select("id", "c", "n", F.posexplode("tokens").alias("at", "token")))
 
 
@@ -185,18 +185,11 @@ def _still_mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
 _SIDE = ("id", "c", "n", "at")
 
 
-def _alike(both: DataFrame) -> DataFrame:
-    """Pairs (u, v, common) of rows that meet at a shingle (id, c, n and at of u and v), if they can be alike enough; no link is left out."""
+def _met(both: DataFrame) -> DataFrame:
+    """Pairs (u, v, common, nu, nv) of rows that meet at a shingle (id, c, n and at of u and v), if their sizes allow PERCENT."""
     sizes = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
-    # At the first shingle that both hold, no more than the smaller rest can be common.
-    first = F.max(F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))).alias("first")
     pairs = both.where(sizes).groupBy(F.col("idu").alias("u"), F.col("idv").alias("v"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("common"), first, F.first("nu").alias("nu"), F.first("nv").alias("nv"))
-    # Of the two lists of forced shingles one ends first; what both sets hold up to there is in both lists, and
-    # no more than the rest of its set comes after.
-    rest = lambda n: F.ceil(PERCENT * F.col(n) / 100) - 1
-    most = F.least("first", F.col("common") + F.greatest(rest("nu"), rest("nv")))
-    return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("nu") + F.col("nv"))).select("u", "v", "common")
+    return pairs.agg(F.count(F.lit(1)).alias("common"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
 
 
 def _with_outermost(rows: DataFrame) -> DataFrame:
@@ -218,8 +211,11 @@ def _with_all(rows: DataFrame) -> DataFrame:
     # One side by its id, the other to each.
     left = rows.select("token", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *[F.col(k).alias(f"{k}u") for k in _SIDE])
     right = rows.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(k).alias(f"{k}v") for k in _SIDE])
-    alike = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
-    return left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & alike)
+    sizes = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
+    # At the first shingle that both hold, no more than the smaller rest can be common.
+    most = F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("nu") + F.col("nv"))
+    return left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & sizes & enough)
 
 
 def _hubs(pairs: DataFrame) -> DataFrame:
@@ -311,9 +307,7 @@ def _near_in_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are alike enough."""
-    of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
-    both = pairs.select("u", "v").join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select("u", "v", "su", "sv")
-    return both.mapInArrow(_confirm, "u long, v long")
+    return _with_ends(pairs.select("u", "v"), sets).select("u", "v", "su", "sv").mapInArrow(_confirm, "u long, v long")
 
 
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -323,8 +317,8 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return far.select(pairs.columns)
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, shingles of the ends of pairs, and of few other documents.
+def _of_ends(docs: DataFrame, pairs: DataFrame, blob: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """id, shingles of the ends of pairs, and of few other documents; blob: what is told of a set.
 
     A table of bounded size tells which texts aren't ends, so no text crosses the network.
     """
@@ -335,12 +329,38 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             some = batch.filter(pa.array(bits.may_hold(table.value, batch.column("h").to_numpy())))
             for part in words.runs(some.column("text"), lower=True):
-                blobs = [s.tobytes() for s in words.shingle_sets(part, WORDS)]
+                blobs = [blob(s) for s in words.shingle_sets(part, WORDS)]
                 ids = some.column("id").slice(part.lo, part.hi - part.lo)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
-    return store(texts.where(F.col("id").isNotNull()).mapInArrow(run, "id long, shingles binary"), "sets")
+    return store(texts.where(F.col("id").isNotNull()).mapInArrow(run, "id long, shingles binary"), name)
+
+
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    return _of_ends(docs, pairs, lambda s: s.tobytes(), "sets")
+
+
+def _with_ends(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")).hint("merge")
+    return pairs.join(of("u"), "u").join(of("v"), "v")
+
+
+def _enough_forced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose forced shingles (32 bits each, which can only find more in common) allow PERCENT.
+
+    Of the two lists one ends first in the order; what both sets hold up to there is in both lists, and no more than
+    the rest of its set comes after.
+    """
+    for batch in batches:
+        n = np.maximum(batch.column("nu").to_numpy(), batch.column("nv").to_numpy()).astype(np.int64)
+        whole = batch.column("nu").to_numpy().astype(np.int64) + batch.column("nv").to_numpy()
+        keep = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint32) for k in ("su", "sv"))
+            keep[i] = (100 + PERCENT) * (len(np.intersect1d(a, b)) + -(-PERCENT * n[i] // 100) - 1) >= PERCENT * whole[i]
+        some = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([some.column(k) for k in ("u", "v", "common")], names=["u", "v", "common"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -359,10 +379,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = store(_linked(_apart(pairs.where(F.col("tree") >= FIRST_TREES), joined), sets), "links")
     if not more.isEmpty():
         joined = store(extended(joined, more), "joined")
-    rows = missed(docs, classes, joined)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    rows = missed(docs, classes, joined, shared)
     for meet in (_with_outermost, _with_all):
         before = joined
-        pairs = store(_alike(meet(rows)), "missed")
+        pairs = _met(meet(rows))
+        if meet is _with_outermost:  # it meets for the sake of the others, so only pairs that share much count
+            rest = F.ceil(PERCENT * F.greatest("nu", "nv") / 100) - 1
+            pairs = pairs.where((100 + PERCENT) * (F.col("common") + rest) >= PERCENT * (F.col("nu") + F.col("nv")))
+        pairs = store(pairs, "met")
+        if pairs.isEmpty():
+            continue
+        lists = _of_ends(docs, pairs, lambda s: forced(s, *shared.value).astype(np.uint32).tobytes(), "lists")
+        pairs = store(_with_ends(pairs, lists).mapInArrow(_enough_forced, "u long, v long, common long"), "missed")
         if pairs.isEmpty():
             continue
         sets = _sets(docs, pairs)
