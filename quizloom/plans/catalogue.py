@@ -293,10 +293,13 @@ def risk_level_norm(spark, sf):
 FLAGS = ["true", "1", " YES ", "correct", "hit", "1.0", "2", "no", "", None, "Hit "]
 
 
-@query(f"with v as (select * from (values {_list(FLAGS)}) t(i, x)) select i, coalesce(lower(trim(x)) in ('1', 'true', 'yes', 'correct'), false) as positive, coalesce(lower(trim(x)) in ('1', 'true', 'yes', 'correct', 'hit'), false) as hit from v")
+@query(f"with v as (select * from (values {_list(FLAGS)}) t(i, x) union all select cast(1000 + conv_id * 100 + turn as integer), case turn % 4 when 0 then ' True ' when 1 then text when 2 then 'HIT' else '0' end from conversations) select i, coalesce(lower(trim(x)) in ('1', 'true', 'yes', 'correct'), false) as positive, coalesce(lower(trim(x)) in ('1', 'true', 'yes', 'correct', 'hit'), false) as hit from v")
 def judge_flags(spark, sf):
     x = F.col("x")
-    return _values(spark, "x", "string", FLAGS).select("i", scoring.positive(x).alias("positive"), scoring.hit(x).alias("hit"))
+    turn = F.col("turn") % 4
+    told = F.when(turn == 0, " True ").when(turn == 1, F.col("text")).when(turn == 2, "HIT").otherwise("0")
+    every = table(spark, sf, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("i"), told.alias("x"))
+    return _values(spark, "x", "string", FLAGS).unionByName(every).select("i", scoring.positive(x).alias("positive"), scoring.hit(x).alias("hit"))
 
 
 TAGS = ["8\nL2", "14\nL3", "L2\n8", "15\nL1", "Dental discipline: 3 of 14", "None L3", "12. Orthodontics", "it is oral implantology, l1", "", None, "nothing said"]
@@ -401,28 +404,45 @@ def skip_existing(spark, sf):
     return left.join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("""select i, v from (values (0, 'from'), (1, 'question'), (2, 'answer'), (3, 'options'), (4, 'answer_key'), (5, 'ok'), (6, 'ok')) t(i, v)""")
+@query(r"""select i, v from (values (0, 'from'), (1, 'question'), (2, 'answer'), (3, 'options'), (4, 'answer_key'), (5, 'ok'), (6, 'ok')) t(i, v)
+union all select cast(1000 + item_id as integer), case when item_id % 7 = 0 then 'from' when item_id % 7 = 1 or not regexp_matches(text, '\S') then 'question' when item_id % 7 = 2 then 'answer' when item_id % 7 = 3 then 'options' when item_id % 7 = 4 then 'answer_key' else 'ok' end from benchmark""")
 def choice_validator(spark, sf):
     o = [("A", "x"), ("B", "y")]
     rows = [(0, " ", "q", o, "A"), (1, "f", "", o, "A"), (2, "f", "q", o, None), (3, "f", "q", o[:1], "A"), (4, "f", "q", o, "C"), (5, "f", "q", o, " B "), (6, "f", "q", None, "z")]
     t = spark.createDataFrame(rows, "i int, f string, q string, o array<struct<key:string,value:string>>, a string")
+    rest, option = F.col("item_id") % 7, lambda k: F.struct(F.lit(k).alias("key"), F.col("text").alias("value"))
+    t = t.unionByName(table(spark, sf, "benchmark").select(
+        (1000 + F.col("item_id")).cast("int").alias("i"), F.when(rest == 0, " ").otherwise("f").alias("f"), F.when(rest == 1, "").otherwise(F.col("text")).alias("q"),
+        F.when(rest == 3, F.array(option("A"))).when(rest != 6, F.array(option("A"), option("B"))).alias("o"), F.when(rest == 4, "C").when(rest != 2, " A ").alias("a"),
+    ))
     return t.select("i", questions.choice_problem(F.col("f"), F.col("q"), F.col("o"), F.col("a")).alias("v"))
 
 
-@query("""select i, v from (values (0, 'ok'), (1, 'options_present'), (2, 'answer')) t(i, v)""")
+@query(r"""select i, v from (values (0, 'ok'), (1, 'options_present'), (2, 'answer')) t(i, v)
+union all select cast(1000 + item_id as integer), case when not regexp_matches(text, '\S') then 'question' when item_id % 3 = 1 then 'answer' when item_id % 3 = 2 then 'options_present' else 'ok' end from benchmark""")
 def short_answer_validator(spark, sf):
     rows = [(0, "f", "q", "a", ["from", "question"]), (1, "f", "q", "a", ["options"]), (2, "f", "q", " ", ["options"])]
     t = spark.createDataFrame(rows, "i int, f string, q string, a string, k array<string>")
+    rest = F.col("item_id") % 3
+    t = t.unionByName(table(spark, sf, "benchmark").select(
+        (1000 + F.col("item_id")).cast("int").alias("i"), F.lit("f").alias("f"), F.col("text").alias("q"), F.when(rest != 1, "a").alias("a"),
+        F.when(rest == 2, F.array(F.lit("from"), F.lit("options"))).otherwise(F.array(F.lit("from"))).alias("k"),
+    ))
     return t.select("i", questions.short_answer_problem(F.col("f"), F.col("q"), F.col("a"), F.col("k")).alias("v"))
 
 
-@query("""select i, v from (values (0, 'ok'), (1, 'five_key_points'), (2, 'key_point_3'), (3, 'seed_question'), (4, 'five_key_points')) t(i, v)""")
+@query("""select i, v from (values (0, 'ok'), (1, 'five_key_points'), (2, 'key_point_3'), (3, 'seed_question'), (4, 'five_key_points')) t(i, v)
+union all select cast(1000 + conv_id as integer), case when min(role) = '' then 'seed_question' when count(*) <> 5 then 'five_key_points' when min(turn) filter (where turn % 4 = 3) is not null then concat('key_point_', 1 + min(turn) filter (where turn % 4 = 3)) else 'ok' end from conversations group by conv_id""")
 def case_validator(spark, sf):
     p = ("c", "l", "e")
     seed = ("q", "l", "e")
     rows = [(0, "f", seed, [p] * 5), (1, "f", seed, [p] * 4), (2, "f", seed, [p, p, ("c", "", "e"), p, p]), (3, "f", ("q", None, "e"), [p] * 5), (4, "f", seed, None)]
     s = "struct<{}:string,location:string,explanation:string>"
     t = spark.createDataFrame(rows, f"i int, f string, s {s.format('question')}, p array<{s.format('content')}>")
+    point = lambda x: F.struct(F.lit("c").alias("content"), F.when(x["turn"] % 4 != 3, x["role"]).alias("location"), x["role"].alias("explanation"))
+    first = F.get("t", F.lit(0))
+    seeds = F.struct(F.lit("q").alias("question"), first["role"].alias("location"), first["role"].alias("explanation"))
+    t = t.unionByName(_turns(spark, sf).select((1000 + F.col("conv_id")).cast("int").alias("i"), F.lit("f").alias("f"), seeds.alias("s"), F.transform("t", point).alias("p")))
     return t.select("i", questions.case_problem(F.col("f"), F.col("s"), F.col("p")).alias("v"))
 
 

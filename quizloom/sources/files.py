@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -72,15 +73,15 @@ def html_title(html: Column) -> Column:
 
 def html_markdown(pages: DataFrame, key: str, html: str, stem: Column) -> DataFrame:
     """key, text: a heading of the title, else of stem, and the visible texts."""
-    title = pages.select(F.col(key), html, F.coalesce(F.nullif(html_title(F.col(html)), F.lit("")), stem).alias("_t"))
+    title = pages.select(F.col(key), html, F.nullif(html_title(F.col(html)), F.lit("")).alias("_t"), stem.alias("_stem"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for h, t in zip(b[html], b["_t"], strict=True):
+            for h, t, s in zip(b[html], b["_t"], b["_stem"], strict=True):
                 p = _Html()
                 p.feed(h or "")
-                out.append(f"# {t}\n\n" + "\n".join(p.texts))
+                out.append(f"# {unescape(t) if t else s}\n\n" + "\n".join(p.texts))
             yield pd.DataFrame({key: b[key], "text": out})
 
     return title.mapInPandas(parse, f"{key} {dict(pages.dtypes)[key]}, text string")

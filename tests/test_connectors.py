@@ -86,3 +86,15 @@ def test_model_calls_keep_failed_rows_and_are_sent_once(spark):
     assert again == {1: "known", 2: "fresh"}
     assert model_calls.content_of({"choices": [{"message": {"content": "a"}}]}) == "a"
     assert model_calls.content_of({"output": [{"content": [{"text": "b"}]}]}) == "b"
+
+
+def test_html_and_xml_become_the_markdown_that_is_expected(spark):
+    pages = [
+        (1, "<html><head><title> A &amp; B </title><style>x{}</style></head><body><h1>H</h1><p>one <b>two</b></p><script>no()</script></body></html>"),
+        (2, "<p>only</p>"), (3, None), (4, "<title></title>x<template>t</template>y"),
+    ]
+    got = {r["k"]: r["text"] for r in files.html_markdown(spark.createDataFrame(pages, "k int, html string"), "k", "html", F.lit("stem")).collect()}
+    assert got == {1: "# A & B\n\nA & B\nH\none\ntwo", 2: "# stem\n\nonly", 3: "# stem\n\n", 4: "# stem\n\nx\ny"}
+    xml = [(1, "<a>p<b>q <c>r</c></b><d/></a>"), (2, "<n:a xmlns:n='u'>x</n:a>"), (3, "<a>"), (4, None)]
+    got = {r["k"]: r["text"] for r in files.xml_markdown(spark.createDataFrame(xml, "k int, xml string"), "k", "xml").collect()}
+    assert got == {1: "## a\n\npq r\n\n## b\n\nq r\n\n## c\n\nr", 2: "## a\n\nx", 3: None, 4: None}
