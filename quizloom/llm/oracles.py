@@ -39,4 +39,17 @@ kept as (select e.doc_id, string_agg(e.word, ' ' order by e.p) as text, count(*)
 select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from w left join kept on kept.doc_id = w.doc_id"""
 
-ORACLES = {"op2_mix_sources": OP2, "op3_near_duplicates": OP3, "op4_substring_dedup": OP4}
+#: All scores of anchors and rows; components are whole numbers in doubles, so their sums are exact.
+OP13 = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, cast(list_inner_product(a.q, r.q) as bigint) as score
+  from e a join e r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3"""
+
+ORACLES = {"op2_mix_sources": OP2, "op3_near_duplicates": OP3, "op4_substring_dedup": OP4, "op13_hard_negatives": OP13}

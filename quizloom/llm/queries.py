@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import decontaminate, fingerprint, langid, lm, mixing, neardup, oracles, secret_scan, substring, toxicity, url_filter, whitening
+from quizloom.llm import decontaminate, fingerprint, langid, lm, mixing, neardup, negatives, oracles, secret_scan, substring, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +59,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op5_language, op6_url_filter, op7_fingerprint, op8_lm_score, op9_decontaminate, op10_secret_scan,
-        op12_whitening,
+        op12_whitening, op13_hard_negatives,
     )
 }
 

@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from quizloom.sources.scratch import remove, shared_dir, store, stored
+from quizloom.sources.scratch import new_dir, remove, shared_dir, store, stored
 
-__all__ = ["remove", "shared_dir", "store", "stored"]
+__all__ = ["new_dir", "remove", "shared_dir", "store", "stored"]

@@ -9,7 +9,8 @@ from quizloom.llm import oracles, queries
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_same_as_sql(spark, tiny, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{tiny}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{tiny}/{table}.parquet'")
     found = con.execute(oracles.ORACLES[name])
     columns = [d[0] for d in found.description]
     got = queries.QUERIES[name](spark, tiny)
