@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import decontaminate, fingerprint, langid, lm, mixing, neardup, negatives, oracles, secret_scan, substring, toxicity, url_filter, whitening
+from quizloom.llm import (
+    decontaminate,
+    extraction,
+    fingerprint,
+    langid,
+    lm,
+    mixing,
+    neardup,
+    negatives,
+    oracles,
+    secret_scan,
+    substring,
+    toxicity,
+    url_filter,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +70,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_mix_sources, op3_near_duplicates, op4_substring_dedup, op5_language, op6_url_filter, op7_fingerprint, op8_lm_score, op9_decontaminate, op10_secret_scan,
-        op12_whitening, op13_hard_negatives,
+        op11_html_extraction, op12_whitening, op13_hard_negatives,
     )
 }
 
