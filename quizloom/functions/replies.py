@@ -29,6 +29,15 @@ def is_list(value: Column) -> Column:
     return _kind(value).startswith("ARRAY")
 
 
+def is_text(value: Column) -> Column:
+    return _kind(value) == "STRING"
+
+
+def is_missing(value: Column) -> Column:
+    """Absent, or JSON's null."""
+    return _kind(value) == "VOID"
+
+
 def part(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
@@ -96,6 +105,13 @@ def structure(reply: Column) -> Column:
     )
 
 
+def chosen_index(reply: Column, n: Column) -> Column:
+    """The whole number selected_index of a reply's object, where it is from 0 to n - 1; true and false count as 1 and 0."""
+    at = part(parsed(reply), "$.selected_index")
+    told = F.when(_kind(at) == "BIGINT", F.try_variant_get(at, "$", "long")).when(_kind(at) == "BOOLEAN", F.try_variant_get(at, "$", "boolean").cast("long"))
+    return F.when((told >= 0) & (told < n), told.cast("int"))
+
+
 def listed_items(reply: Column) -> Column:
     """The elements of a JSON list as JSON texts; null where the reply is no list."""
     v = parsed(reply)

@@ -78,3 +78,6 @@ METADATA_WORDS = 4096
 BOOKKEEPING = ("output_path", "question_type", "Type", "status", "error")
 END_OF_TEXT = "<｜end▁of▁sentence｜>"
 PAGE_SPLIT = "\n<--- Page Split --->"
+
+#: Key points of a case.
+KEY_POINTS = 5

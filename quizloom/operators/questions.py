@@ -8,30 +8,78 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizloom.functions import replies
 from quizloom.functions import text as T
+from quizloom.functions import values as V
 from quizloom.sources.scratch import store
 
 
-def _first_failing(checks: list[tuple[str, Column]], otherwise: str = "ok") -> Column:
-    """The name of the first check that isn't true."""
-    out = F.lit(otherwise)
+def _first_failing(checks: list[tuple[str, Column]], otherwise: Column | None = None) -> Column:
+    """The name of the first check that isn't true, else ok."""
+    out = F.lit("ok") if otherwise is None else otherwise
     for name, ok in reversed(checks):
         out = F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)).otherwise(out)
     return out
 
 
 def choice_problem(source: Column, question: Column, options: Column, answer: Column) -> Column:
-    """ok, or what is wrong with a multiple-choice item; options (array of key, value) may be missing."""
+    """ok, or what is wrong with a multiple-choice item; options (array of key, value) may be missing.
+
+    Two options must have a text and a key, and the answer must be the key of one that does.
+    """
     full = F.filter(options, lambda o: T.has_text(o["key"]) & T.has_text(o["value"]))
     return _first_failing(
         [
             ("from", T.has_text(source)), ("question", T.has_text(question)), ("answer", T.has_text(answer)),
-            ("options", options.isNull() | (F.size(full) >= 2) & (F.size(full) == F.size(options))),
-            ("answer_key", options.isNull() | F.exists(options, lambda o: o["key"] == T.trim_all(answer))),
+            ("options", options.isNull() | (F.size(full) >= 2)),
+            ("answer_key", options.isNull() | F.exists(full, lambda o: o["key"] == T.trim_all(answer))),
         ]
     )
 
 
+def _text(value: Column, name: str) -> Column:
+    """The member of that name where it is a text that isn't blank."""
+    told = F.when(replies.is_text(replies.part(value, f"$.{name}")), F.try_variant_get(value, f"$.{name}", "string"))
+    return F.when(T.has_text(told), told)
+
+
+def full_options(value: Column) -> Column:
+    """The options of an item (VARIANT) whose key and text aren't blank, as a map; null where they are no object."""
+    told = F.when(replies.is_object(replies.part(value, "$.options")), F.try_variant_get(value, "$.options", "map<string,variant>"))
+    texts = F.transform_values(told, lambda k, x: F.when(replies.is_text(x), F.try_variant_get(x, "$", "string")))
+    return F.map_filter(texts, lambda k, x: T.has_text(k) & T.has_text(x))
+
+
+def item_problem(item: Column, kind: str) -> Column:
+    """ok, or what is wrong with an item's JSON text by the types of its members.  kind: MCQ, SAQ or CaseReport.
+
+    Options of a multiple-choice item may be missing or null, but what is there must be an object.
+    """
+    v = F.try_parse_json(item)
+    if kind == "CaseReport":
+        return F.when(~replies.is_object(v), "not_an_object").otherwise(_case_item_problem(v))
+    options = replies.is_missing(replies.part(v, "$.options"))
+    reason = replies.part(v, "$.reason")
+    checks = [(n, _text(v, n).isNotNull()) for n in ("from", "question", "answer")]
+    if kind == "MCQ":
+        checks += [("options", options | (F.size(full_options(v)) >= 2)), ("answer_key", options | F.map_contains_key(full_options(v), T.trim_all(_text(v, "answer"))))]
+    else:
+        checks.append(("options_present", ~F.array_contains(F.json_object_keys(item), "options")))
+    checks.append(("reason", replies.is_missing(reason) | replies.is_text(reason)))
+    return F.when(~replies.is_object(v), "not_an_object").otherwise(_first_failing(checks))
+
+
+def _case_item_problem(v: Column) -> Column:
+    names = ("location", "explanation")
+    seed = replies.part(v, "$.seed_question")
+    points = F.when(replies.is_list(replies.part(v, "$.key_points")), F.try_variant_get(v, "$.key_points", "array<variant>"))
+    whole = lambda p: replies.is_object(p) & reduce(lambda a, b: a & b, [_text(p, n).isNotNull() for n in ("content", *names)])
+    bad = F.array_position(F.transform(points, whole), False)
+    checks = [("seed_question", replies.is_object(seed)), *[(f"seed_question.{n}", _text(seed, n).isNotNull()) for n in ("question", *names)]]
+    rest = F.coalesce(F.concat(F.lit("key_point_"), F.nullif(bad, F.lit(0).cast("long")).cast("string")), F.lit("ok"))
+    return _first_failing([*checks, ("five_key_points", F.size(points) == V.KEY_POINTS)], rest)
+
+
 def short_answer_problem(source: Column, question: Column, answer: Column, keys: Column) -> Column:
     """keys: the item's keys; options must be absent, null included."""
     return _first_failing(

@@ -84,8 +84,6 @@ def test_model_calls_keep_failed_rows_and_are_sent_once(spark):
     done = spark.createDataFrame([("m", hashlib.sha256(b"hello").hexdigest(), "known", "ok")], "model string, prompt_sha256 string, response string, status string")
     again = {r["request_id"]: r["response"] for r in model_calls.call_once(prompts.where("prompt is not null"), done, model_calls.replay({}, "fresh")).collect()}
     assert again == {1: "known", 2: "fresh"}
-    assert model_calls.content_of({"choices": [{"message": {"content": "a"}}]}) == "a"
-    assert model_calls.content_of({"output": [{"content": [{"text": "b"}]}]}) == "b"
 
 
 def test_html_and_xml_become_the_markdown_that_is_expected(spark):

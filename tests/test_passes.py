@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizloom.functions import replies
-from quizloom.operators import passes
+from quizloom.operators import passes, questions
+from quizloom.operators.completions import Completions
 from quizloom.plans import model_queries as mq
 
 
@@ -57,21 +58,85 @@ def test_tagging_takes_the_first_valid_try(spark, tiny):
             assert got[i]["level"] in ("L1", "L2", "L3") and got[i]["number"] >= 0
 
 
-def test_cases_are_refined_and_the_best_stays(spark, tiny):
-    want = {}
-    for conv, turn, text in sorted(chunks(spark, tiny)):
-        case, rounds = mq.client(f"CASE {text}", "m"), 0
-        while True:
-            told = json.loads(mq.client(f"VALIDATE {case}", "m"))
-            scores = [told[c]["score"] for c in replies.CRITERIA]
-            if min(scores) or rounds == 3:
-                break
-            why = {c: {"score": s, "reasoning": "z"} for c, s in zip(replies.CRITERIA, scores, strict=True)} | {"overall_passed": min(scores), "total_score": sum(scores)}
-            case, rounds = mq.client(f"AGAIN {case} " + json.dumps(why, separators=(",", ":")), "m"), rounds + 1
-        mine = (turn, case, rounds, min(scores), sum(scores))
-        if conv not in want or mine[3:] > want[conv][3:]:
-            want[conv] = mine
-    assert {r["conv_id"]: tuple(r)[1:] for r in mq.best_cases(spark, tiny).collect()} == want
+def test_tagging_goes_on_until_a_try_is_valid(spark, tmp_path):
+    """Replies that change from try to try: the third of one item is valid, none of the other's is."""
+    said = {"a": ["nothing", "15 L9", "8 L2", "9 L1"], "b": ["?", "??", "???", "9 L1"]}
+
+    def changing():
+        def call(prompt, model):
+            path = tmp_path / prompt.split()[1]
+            n = len(path.read_text()) if path.exists() else 0
+            path.write_text("x" * (n + 1))
+            return said[prompt.split()[1]][n]
+
+        return call
+
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    got = {r["id"]: r["tags"] for r in passes.tag(items, "TAGS {text}", "m", changing).collect()}
+    assert (got[1]["number"], got[1]["level"]) == (8, "L2") and got[2]["number"] == 0
+    assert [len((tmp_path / x).read_text()) for x in "ab"] == [3, 3]
+    log = Completions(changing, str(tmp_path / "log"))
+    for x in "ab":
+        (tmp_path / x).unlink()
+    for _ in range(2):  # the tries of one prompt are told apart in the log, and none is sent again
+        got = {r["id"]: r["tags"] for r in passes.tag(items, "TAGS {text}", "m", log).collect()}
+        assert (got[1]["number"], got[1]["level"]) == (8, "L2")
+        assert [len((tmp_path / x).read_text()) for x in "ab"] == [3, 3]
+
+
+def _case(k, **more):
+    points = [{"content": f"c{i}", "location": "l", "explanation": "e"} for i in range(5)]
+    return {"seed_question": {"question": f"q{k}", "location": "l", "explanation": "e"}, "key_points": points} | more
+
+
+def test_many_candidates_are_compared_in_lists(spark):
+    """The model picks the last of each list, so lists of three end at the last chunk; a reply that picks none leaves the first."""
+    passed = {c: {"score": 1} for c in replies.CRITERIA}
+    rows = [("k", i, json.dumps(_case(i)), json.dumps(passed)) for i in range(20)] + [("one", 0, json.dumps(_case(0)), json.dumps(passed))]
+    t = spark.createDataFrame(rows, "k string, chunk_index int, case string, v string").select("k", "chunk_index", "case", replies.validation(F.col("v")).alias("validation"))
+
+    def last():
+        return lambda prompt, model: json.dumps({"selected_index": len(json.loads(prompt)) - 1})
+
+    for make, want in ((last, {"k": 19, "one": 0}), (lambda: lambda prompt, model: "none", {"k": 0, "one": 0})):
+        got = passes.select_cases(t, "k", "{candidates}", "m", make, most=3).collect()
+        assert {r["k"]: r["chunk_index"] for r in got} == want and len(got) == 2
+
+
+def test_selected_index(spark):
+    told = ['{"selected_index": 1}', '{"selected_index": 2}', '{"selected_index": -1}', '{"selected_index": "1"}', '{"selected_index": true}', '{"selected_index": 1.0}', "x", None]
+    t = spark.createDataFrame(list(enumerate(told)), "i int, r string")
+    assert [r["j"] for r in t.select("i", replies.chosen_index(F.col("r"), F.lit(2)).alias("j")).orderBy("i").collect()][:5] == [1, None, None, None, 1]
+
+
+@pytest.mark.parametrize("case, want", [
+    (_case(1), "ok"), (_case(1, seed_question="q"), "seed_question"), (_case(1, seed_question={"question": "q", "location": 5}), "seed_question.location"),
+    (_case(1, key_points=[]), "five_key_points"), (_case(1, key_points={"a": 1}), "five_key_points"), (_case(1, key_points=[{}] * 5), "key_point_1"),
+    (_case(1, key_points=_case(1)["key_points"][:4] + ["x"]), "key_point_5"), ([1], "not_an_object"), ("x", "not_an_object"),
+])
+def test_case_structure(spark, case, want):
+    t = spark.createDataFrame([(json.dumps(case),)], "c string")
+    assert t.select(questions.item_problem(F.col("c"), "CaseReport")).first()[0] == want
+
+
+def test_broken_cases_are_never_judged(spark, tmp_path):
+    def counted():
+        def call(prompt, model):
+            kind, _, rest = prompt.partition(" ")
+            if kind == "VALIDATE":
+                json.loads(rest)
+                assert questions_ok(rest)
+                return json.dumps({c: {"score": 0} for c in replies.CRITERIA})
+            return json.dumps(_case(1)) if kind == "CASE" and rest == "good" else "[]"
+
+        def questions_ok(text):
+            return len(json.loads(text)["key_points"]) == 5
+
+        return call
+
+    docs = spark.createDataFrame([("a", 0, "good"), ("a", 1, "bad"), ("b", 0, "bad")], "k string, chunk_index int, text string")
+    chosen, failed = passes.cases(docs, "k", mq.CASES, "m", counted)
+    assert chosen.collect() == [] and sorted(r["k"] for r in failed.collect()) == ["a", "b"]
 
 
 def test_failed_calls_keep_their_rows(spark):
