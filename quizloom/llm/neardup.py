@@ -15,7 +15,8 @@
    the first quarter of their shingles, whatever the order of all shingles is, and
    the order here puts frequent ones last.  Classes of different components that
    share such shingles, and whose sizes, places and number of shared ones allow 0.75,
-   are confirmed on the full sets.  First each meets the lowest or highest component at its shingles,
+   are confirmed on the full sets.  The smaller set of two needs even fewer shingles, one
+   in seven, so a template that many share without being alike is shown by none of them.  First each meets the lowest or highest component at its shingles,
    which is one pair a row and joins most groups; then all that are still apart meet.
    Of the pairs those with the partner that most others meet, and with the one that
    shares most, go first, which joins a star to its centre.
@@ -52,8 +53,10 @@ NEIGHBOURS = 2
 FIRST_TREES = 2
 #: The shingles of one in so many documents tell which are frequent, and so many at most are told.  They only set an order, so they never change a result.
 ORDER_SAMPLE, MOST_FREQUENT = 8, 1 << 20
-#: Rows of one shingle that a task of the exact join takes from one side.
-HOT = 1000
+#: Rows of one shingle that a task of the exact join takes from one side; up to FEW meet without more ado.
+HOT, FEW = 1000, 32
+#: At other shingles they meet by size, in steps of this factor.
+SIZE_STEP = 1.05
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -162,17 +165,20 @@ def _forced_rows(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (id, c, n, at, token) whose shingle is in several components c, with times: how many rows have it."""
+    """Rows (id, c, n, at, shown, token) whose shingle is in several components c, and shown by one row at least, with times: how many rows have it."""
     same = Window.partitionBy("token")
-    rows = rows.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("times"))
-    return store(rows.where("low != high").drop("low", "high"), "mixed")
+    rows = rows.select(
+        "*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("times"),
+        F.max(F.col("at") < F.col("shown")).over(same).alias("any"),
+    )
+    return store(rows.where("low != high and any").drop("low", "high", "any"), "mixed")
 
 
 def missed(docs: DataFrame, classes: DataFrame, joined: DataFrame, shared: Broadcast) -> DataFrame:
     """Rows (id, c, n, at, token, times) by which the classes of different components meet that may be alike enough."""
     of = classes.select("id").join(joined.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     rows = _forced_rows(docs, shared).join(of.select("id", F.coalesce("component", "id").alias("c")), "id")
-    return _mixed(rows.select("id", "c", "n", F.posexplode("tokens").alias("at", "token")))
+    return _mixed(rows.select("id", "c", "n", F.expr(_SHOWN).alias("shown"), F.posexplode("tokens").alias("at", "token")))
 
 
 def _still_mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -205,17 +211,49 @@ def _with_outermost(rows: DataFrame) -> DataFrame:
     return rows.select(*sides, "token").distinct()
 
 
+#: SQL: how many of its first shingles a set of n must show to equal or larger sets; one of these is in each that is like it.
+_SHOWN = f"cast(n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT} + 1 as int)"
+
+
+def _bucket(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
 def _with_all(rows: DataFrame) -> DataFrame:
-    """Each row with all others of other components at its shingle; a frequent shingle is dealt to many tasks."""
+    """Pairs of rows of different components at a shingle that may be alike enough.
+
+    Of two sets the smaller one (by size, then id) shows only the few shingles that equal or larger partners
+    need, and the other one all its forced ones.  At a shingle with many rows they meet by size too, within the largest
+    size that the smaller one's place there allows, and the largest component there meets the others, not itself.
+    """
+    small, large = "nu, idu", "nv, idv"
+    left = [F.col(k).alias(f"{k}u") for k in _SIDE]
+    right = [F.col(k).alias(f"{k}v") for k in _SIDE]
+    shown = F.col("at") < F.col("shown")
+    few, many = rows.where(F.col("times") <= FEW), rows.where(F.col("times") > FEW)
+    both = few.where(shown).select("token", *left).join(few.select("token", *right), "token").drop("token")
+    sizes = many.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    top = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
     salts = F.ceil(F.col("times") / HOT).cast("int")
-    # One side by its id, the other to each.
-    left = rows.select("token", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *[F.col(k).alias(f"{k}u") for k in _SIDE])
-    right = rows.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(k).alias(f"{k}v") for k in _SIDE])
-    sizes = PERCENT * F.greatest("nu", "nv") <= 100 * F.least("nu", "nv")
+    crowd = store(many.join(top, "token").select("*", (F.col("c") == F.col("top")).alias("largest"), salts.alias("salts")), "crowded")
+    # (100 + PERCENT) * (n - at) >= PERCENT * (n + the other's size)
+    most = F.floor((100 + PERCENT) * (F.col("n") - F.col("at")) / PERCENT).cast("int") - F.col("n")
+    reach = F.sequence(_bucket(F.col("n")), _bucket(F.least(most, F.floor(100 * F.col("n") / PERCENT).cast("int"))))
+    one = crowd.where(shown & (most >= F.col("n"))).withColumn("size", F.explode(reach))
+    one = one.withColumn("of", F.explode(F.when(F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    one = one.select("token", "size", "of", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *left)
+    other = crowd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = other.select("token", _bucket(F.col("n")).alias("size"), F.col("largest").alias("of"), "salt", *right)
+    keys = ["token", "size", "of", "salt"]
+    both = both.unionByName(one.join(other, keys).drop(*keys))
     # At the first shingle that both hold, no more than the smaller rest can be common.
-    most = F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))
-    enough = (100 + PERCENT) * most >= PERCENT * (F.col("nu") + F.col("nv"))
-    return left.join(right, ["token", "salt"]).where((F.col("idu") < F.col("idv")) & (F.col("cu") != F.col("cv")) & sizes & enough)
+    rest = F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))
+    enough = (100 + PERCENT) * rest >= PERCENT * (F.col("nu") + F.col("nv"))
+    both = both.where(F.expr(f"({small}) < ({large})") & (F.col("cu") != F.col("cv")) & (PERCENT * F.col("nv") <= 100 * F.col("nu")) & enough)
+    # The smaller id is u, so that the shingles of a pair are counted together.
+    ordered = F.col("idu") < F.col("idv")
+    swapped = [F.when(ordered, F.col(f"{k}{a}")).otherwise(F.col(f"{k}{b}")).alias(f"{k}{a}") for a, b in ("uv", "vu") for k in _SIDE]
+    return both.select(*swapped)
 
 
 def _hubs(pairs: DataFrame) -> DataFrame:

@@ -141,3 +141,42 @@ def test_large_regions_keep_all_neighbours(spark, monkeypatch):
         monkeypatch.setattr(neardup, "REGION", region)
         found.append({(r["u"], r["v"]) for r in neardup.candidates(classes).collect()})
     assert len(found[0]) > 1000 and found[0] <= found[1]
+
+
+def _crowd(n, own, template=100, copies=0, seed=9):
+    """Documents that share a template and are not alike, with own(k) words of their own each; the last ones are copies of the first."""
+    rng = random.Random(seed)
+    base = " ".join(f"t{i}" for i in range(template))
+    rows = [(k, base + " " + " ".join(f"o{k}x{i}" for i in range(own(k)))) for k in range(n)]
+    for c in range(copies):
+        w = rows[0][1].split()
+        w[template + rng.randrange(own(0))] = f"c{c}"
+        rows.append((n + c, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("own, copies", [(lambda k: 18, 0), (lambda k: 14 + k % 30, 0), (lambda k: 18, 150)])
+def test_crowds_around_a_template_meet_in_few_rows(spark, monkeypatch, own, copies):
+    """Linear join rows where a template is shared by all, where sizes differ, and where one component is large."""
+    met, plain = [], neardup._with_all
+    monkeypatch.setattr(neardup, "_with_all", lambda rows: met.append(plain(rows).count()) or plain(rows))
+    monkeypatch.setattr(neardup, "HOT", 100)
+    rows = _crowd(400, own, copies=copies)
+    agree(spark, rows)
+    assert sum(met) <= 40 * len(rows)
+
+
+def test_the_shown_shingles_of_the_smaller_set_meet():
+    """Of two sets that are alike, one of the few that the smaller one shows is among the forced ones of the larger."""
+    rng = np.random.default_rng(15)
+    token, count, tried = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for _ in range(3000):
+        a = np.unique(rng.choice(400, rng.integers(1, 60), replace=False).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, len(a) // 4 + 1) :], rng.choice(400, rng.integers(0, 8)).astype(np.uint64)]))
+        small, large = sorted((a, b), key=len)
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            shown = len(small) - -(-150 * len(small) // 175) + 1
+            assert len(np.intersect1d(neardup.forced(small, token, count)[:shown], neardup.forced(large, token, count)))
+            tried += 1
+    assert tried > 500
