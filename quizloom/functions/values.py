@@ -81,3 +81,10 @@ PAGE_SPLIT = "\n<--- Page Split --->"
 
 #: Key points of a case.
 KEY_POINTS = 5
+
+#: Fields of a document's metadata, and what stands for a description where none was told.
+METADATA_FIELDS = ("Name", "Date", "Authors", "Brief Description", "Type")
+NO_DESCRIPTION = (
+    "Automatic metadata extraction failed. This fallback metadata was generated from the source filename so downstream processing can continue."
+)
+WARNING_CHARS = 1000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizloom.functions import replies
 from quizloom.functions import text as T
 from quizloom.functions import values as V
 
@@ -21,15 +22,17 @@ def question_type(named: Column, typed: Column, category: Column) -> Column:
 def reason(records: DataFrame) -> Column:
     """Why a record is kept ("passed") or not; columns kind, status, error, question, n_options, answer, points, process, validated.
 
-    process: found, missing or invalid; points: array of contents.
+    process: found, missing or invalid; points: array of contents.  A column object, where there is one, tells what is no JSON object.
     """
     text = T.has_text(F.col("question"))
     choice = text & (F.col("n_options") > 0) & T.has_text(F.col("answer"))
     short = text & T.has_text(F.col("answer"))
     case = text & (F.size("points") > 0) & F.forall("points", T.has_text)
     kind, no = F.col("kind"), lambda c: ~F.coalesce(c, F.lit(False))
+    whole = F.coalesce("object", F.lit(False)) if "object" in records.columns else F.lit(True)
     return (
-        F.when(failed(F.col("status"), F.col("error")), "failed_record")
+        F.when(~whole, "not_json_object")
+        .when(failed(F.col("status"), F.col("error")), "failed_record")
         .when((kind == "MCQ") & no(choice), "incomplete_mcq")
         .when((kind == "SAQ") & no(short), "incomplete_saq")
         .when(kind.isin("MCQ", "SAQ"), "passed")
@@ -42,6 +45,23 @@ def reason(records: DataFrame) -> Column:
     )
 
 
+def json_records(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows: keys, category, item (JSON text).  The records as reason() takes them, without process and validated, which sidecars tell.
+
+    Members of another type than text count as missing.
+    """
+    v = F.col("_v")
+    text = lambda n: F.when(replies.is_text(replies.part(v, f"$.{n}")), F.try_variant_get(v, f"$.{n}", "string"))
+    points = F.when(replies.is_list(replies.part(v, "$.key_points")), F.try_variant_get(v, "$.key_points", "array<variant>"))
+    content = lambda p: F.when(replies.is_text(replies.part(p, "$.content")), F.try_variant_get(p, "$.content", "string"))
+    options = F.when(replies.is_object(replies.part(v, "$.options")), F.size(F.try_variant_get(v, "$.options", "map<string,variant>")))
+    return rows.withColumn("_v", F.try_parse_json("item")).select(
+        *keys, replies.is_object(v).alias("object"), question_type(text("question_type"), text("Type"), F.col("category")).alias("kind"),
+        text("status").alias("status"), replies.said(v, "$.error").alias("error"), text("question").alias("question"), F.coalesce(options, F.lit(0)).alias("n_options"),
+        text("answer").alias("answer"), F.transform(points, content).alias("points"), F.lit("missing").alias("process"), F.lit(False).alias("validated"),
+    )
+
+
 def build(records: DataFrame) -> DataFrame:
     """Kept records by output category and position, without bookkeeping fields."""
     kept = records.withColumn("_reason", reason(records)).where("_reason = 'passed'")

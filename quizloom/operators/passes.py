@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import replies
 from quizloom.functions import text as T
+from quizloom.functions import values as V
 from quizloom.operators import questions, tasks
 from quizloom.operators.completions import Completions
+from quizloom.operators.convert import description
 from quizloom.operators.model_calls import Client, Endpoint, call_models
 from quizloom.sources.scratch import store
 
@@ -74,6 +76,15 @@ def _evaluate(each: DataFrame, judge: str, prompts: dict[str, str], make: Make)
     return chosen.unionByName(judged)
 
 
+def describe(docs: DataFrame, prompt: str, model: str, make: Make) -> DataFrame:
+    """docs: path, text.  path and the metadata fields that the model tells of the first words, else those that path and text tell, with a warning."""
+    rendered = T.render(prompt, path=F.col("path"), text=T.truncate_words(F.coalesce("text", F.lit("")), V.METADATA_WORDS))
+    asked = ask(docs.select("path", "text"), rendered, F.lit(model), make)
+    failed = F.concat(F.lit("Request failed: "), F.coalesce("error", F.lit("")))
+    reply = F.when(F.col("status") == "ok", F.col("reply")).otherwise(failed)
+    return asked.select("path", description(reply, F.col("path"), F.coalesce("text", F.lit(""))).alias("d")).select("path", "d.*")
+
+
 def _by_category(columns: dict[str, Column]) -> Column:
     out = F.lit(None).cast("string")
     for category, c in columns.items():

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizloom.functions import replies
 from quizloom.functions import text as T
 from quizloom.functions import values as V
 
@@ -20,6 +21,13 @@ def hit(c: Column) -> Column:
     return positive(c, ("hit",))
 
 
+def response_letter(c: Column) -> Column:
+    """The option letter of a stored response: of the answer where it is an object, none where that failed, else of the text."""
+    v = F.try_parse_json(c)
+    told = F.when(replies.said(v, "$.status") == "failed", F.lit("")).otherwise(replies.said(v, "$.answer"))
+    return T.option_letter(F.when(replies.is_object(v), told).otherwise(c))
+
+
 def choice_score(reference: Column, answer: Column) -> Column:
     right = T.option_letter(reference)
     return F.when((right != "") & (right == T.option_letter(answer)), 100.0).otherwise(0.0)

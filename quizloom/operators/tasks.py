@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def skip_existing(records: DataFrame, done: DataFrame, key: str = "output_path")
     return records.join(done.select(key).distinct(), key, "left_anti")
 
 
+def with_cached(records: DataFrame, cached: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(records without a cached result), and the cached results of the others; cached: one row a key, with work's columns."""
+    fresh = work(skip_existing(records, cached, key))
+    return fresh.unionByName(cached.join(records.select(key).distinct(), key, "left_semi").select(*fresh.columns))
+
+
 def deal(records: DataFrame, order: str, n: int) -> DataFrame:
     """Round robin by the position in order, counted within ranges of order, so no task holds all rows.
 

@@ -9,14 +9,14 @@ from quizloom.functions import ocr
 from quizloom.functions import text as T
 from quizloom.functions import values as V
 from quizloom.operators import build, chunks, questions, scoring, tasks
-from quizloom.plans import model_queries
+from quizloom.plans import document_queries, model_queries
 from quizloom.plans.fixtures import SCORES_SQL, items, records, responses, table
 from quizloom.sources import files, scratch, sinks
 from quizloom.sources import records as run_records
 from quizloom.streaming import buffer
 
-QUERIES: dict = dict(model_queries.QUERIES)
-ORACLES: dict[str, str] = dict(model_queries.ORACLES)
+QUERIES: dict = model_queries.QUERIES | document_queries.QUERIES
+ORACLES: dict[str, str] = model_queries.ORACLES | document_queries.ORACLES
 
 
 def query(sql: str | None = None):

@@ -39,6 +39,11 @@ def client(prompt: str, model: str) -> str:
         return json.dumps({"chunk_summary": f"s{d[3]}", "recommended_section_titles": [" a ", "", 5], "sections": sections}) if d[0] % 4 else "[1]"
     if kind in ("CASE", "AGAIN"):
         return broken_case(d[1]) if d[0] < 3 else case_text(d[0], d[1])
+    if kind == "META":
+        if d[0] < 3:
+            return f"sorry, case {d[1]}"
+        told = {"Name": f" n{d[1]}", "Date": None, "Authors": 0, "Type": ("Exam", "saq ", "case_report", "other")[d[2] % 4]}
+        return "[1]" if d[0] == 3 else json.dumps({"error": "no"} if d[0] == 4 else told)
     if kind == "SELECT":
         return f'{{"selected_index": {d[0] % 3}}}' if d[1] % 4 else "the first"
     if kind == "VALIDATE":

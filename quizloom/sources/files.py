@@ -52,6 +52,36 @@ class _Html(HTMLParser):
             self.texts.append(data.strip())
 
 
+class _Titled(_Html):
+    """The same, and the text of the first title."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.title, self._inside = None, False
+
+    def handle_starttag(self, tag, attrs) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag == "title" and self.title is None:
+            self.title, self._inside = "", True
+
+    def handle_endtag(self, tag) -> None:
+        super().handle_endtag(tag)
+        self._inside = self._inside and tag != "title"
+
+    def handle_data(self, data) -> None:
+        super().handle_data(data)
+        if self._inside:
+            self.title += data.strip()
+
+
+def plain_html(html: str) -> tuple[str | None, str]:
+    """Title (None without one) and visible texts, one a line."""
+    parser = _Titled()
+    parser.feed(html)
+    parser.close()
+    return parser.title, "\n".join(parser.texts)
+
+
 def html_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, body: the page's visible texts, one a line."""
 
@@ -88,9 +118,11 @@ def html_markdown(pages: DataFrame, key: str, html: str, stem: Column) -> DataFr
 
 
 def xml_markdown(files: DataFrame, key: str, xml: str) -> DataFrame:
-    """key, text: a heading for every element with text, and all text below it; null for what doesn't parse."""
+    """key, text: a heading for every element with text, and all text below it; null for what doesn't parse or has a document type."""
 
     def one(raw: str) -> str | None:
+        if "<!doctype" in raw.lower():  # entities may expand without bound
+            return None
         try:
             root = ElementTree.fromstring(raw)
         except ElementTree.ParseError:

@@ -42,12 +42,16 @@ def summary_items(payloads: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def resume_index(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """Rows (key, source_path, record) of resume indexes: the member records, or the whole object; members that are no objects are left out."""
-    inner = F.get_json_object(payload, "$.records")
-    plain = F.col(payload)
-    body = F.when(inner.isNotNull(), inner).otherwise(plain)
-    each = payloads.select(key, F.explode(_entries(body)).alias("e")).select(key, F.col("e.key").alias("source_path"), F.col("e.value").alias("record"))
-    return each.where(F.ltrim("record").startswith("{"))
+    """Rows (key, source_path, record) of resume indexes: the member records where there is one, else the whole object.
+
+    Members that are no objects are left out, and of a repeated member the last one stands.  A records member that is no object, null included, has no rows.
+    """
+    plain = T.trim_all(F.coalesce(payload, F.lit("")))
+    has = F.coalesce(F.array_contains(F.json_object_keys(plain), "records"), F.lit(False))
+    body = F.when(has, F.get_json_object(plain, "$.records")).otherwise(plain)
+    each = payloads.select(key, _entries(body).alias("_all")).select(key, F.posexplode("_all").alias("_at", "e"))
+    last = each.groupBy(key, F.col("e.key").alias("source_path")).agg(F.max_by("e.value", "_at").alias("record"))
+    return last.where(F.ltrim("record").startswith("{"))
 
 
 def resume_record(**columns: Column) -> Column:
@@ -83,6 +87,22 @@ def model_settings(settings: dict, name: str, default: str = "default") -> dict:
     return {k: v for k, v in section.items() if v is not None}
 
 
+def setting(*values: object) -> object:
+    """The first that isn't None: what a call says, then the settings, then the default; 0 and an empty text count."""
+    return next((v for v in values if v is not None), None)
+
+
+def count_mode(mode: str | None, tokenizer: str | None, settings: dict) -> str:
+    """local or api: as told, else local where there is a tokenizer."""
+    return mode if mode in ("local", "api") else "local" if tokenizer or settings.get("tokenizer") else "api"
+
+
+def benchmark_filename(name: Column, default: str = "benchmark") -> Column:
+    """A benchmark's file name; blank names get the default one."""
+    trimmed = F.coalesce(F.nullif(T.trim_all(F.coalesce(name, F.lit(""))), F.lit("")), F.lit(default))
+    return F.when(trimmed.endswith(".json"), trimmed).otherwise(F.concat(trimmed, F.lit(".json")))
+
+
 def output_path(markdown: Column, inputs: str, outputs: str, ending: str) -> Column:
     """Where the result of a Markdown file goes: its path below inputs, else its name, below outputs, with another ending."""
     root = inputs.rstrip("/") + "/"
