@@ -72,48 +72,47 @@ def split_unit(c: Column, size: int, chars_per_token: int = 4) -> Column:
 
 
 def pack(docs: DataFrame, key: str, size: int, overlap: int) -> DataFrame:
-    """Units packed greedily up to size words, with whole units of up to overlap words carried over.
+    """Units packed greedily up to size words, with whole units of up to overlap words carried over."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(key, text.alias("text"), F.flatten(F.transform(units(text), lambda u: split_unit(u, size))).alias("_u"))
+    counts = F.concat(F.transform("_u", T.word_count), F.array(T.word_count(F.col("text"))))
+    return fold_units(rows.withColumn("_n", counts), key, size, overlap)
+
+
+def fold_units(rows: DataFrame, key: str, size: int, overlap: int) -> DataFrame:
+    """rows: key, text, _u (units) and _n (their counts, and at the end the count of the whole text).  The packed chunks.
 
     The fold is sequential inside a document and documents are independent, so it runs in the
-    tasks that hold them.
+    tasks that hold them; it adds up counts and joins texts once a chunk is full.
     """
-    count = lambda text: len(text.split())
-
-    def chunks_of(whole: str, pieces: list[str]) -> Iterator[tuple]:
-        if count(whole) <= size:
-            yield 0, 0, count(whole), whole
-            return
-        held: list[str] = []
-        used = index = start = 0
-        for unit in pieces:
-            n = count(unit)
-            if held and used + n > size:
-                yield index, start, start + used, "\n\n".join(held).strip()
-                start, index = max(0, start + used - overlap), index + 1
-                carried: list[str] = []
-                kept = 0
-                for old in reversed(held):
-                    if carried and kept + count(old) > overlap:
-                        break
-                    carried, kept = [old, *carried], kept + count(old)
-                    if kept >= overlap:
-                        break
-                held, used = [*carried, unit], kept + n
-            else:
-                held, used = [*held, unit], used + n
-        if held:
-            yield index, start, start + used, "\n\n".join(held).strip()
+
+    def bounds(counts: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """First unit, unit after the last, token_start and tokens of each chunk."""
+        first = used = start = 0
+        for i, n in enumerate(counts):
+            if i > first and used + n > size:
+                yield first, i, start, used
+                start, low, first, kept = max(0, start + used - overlap), first, i - 1, counts[i - 1]  # the last unit in any case
+                while first > low and kept < overlap and kept + counts[first - 1] <= overlap:
+                    first -= 1
+                    kept += counts[first]
+                used = kept
+            used += n
+        yield first, len(counts), start, used
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, *c) for k, t, u in zip(batch[key], batch["text"], batch["_u"], strict=True) for c in chunks_of(t, list(u))]
+            out = []
+            for k, text, pieces, counts in zip(batch[key], batch["text"], batch["_u"], batch["_n"], strict=True):
+                *each, whole = map(int, counts)
+                if whole <= size:
+                    out.append((k, 0, 0, whole, text))
+                else:
+                    out += [(k, i, start, start + used, "\n\n".join(pieces[a:b]).strip()) for i, (a, b, start, used) in enumerate(bounds(each))]
             yield pd.DataFrame(out, columns=[key, "chunk_index", "token_start", "token_end", "text"])
 
-    text = F.coalesce("text", F.lit(""))
-    pieces = F.flatten(F.transform(units(text), lambda u: split_unit(u, size)))
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(key, text.alias("text"), pieces.alias("_u"))
-    return rows.mapInPandas(fold, f"{key} {kind}, chunk_index int, token_start int, token_end int, text string")
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, "text", "_u", "_n").mapInPandas(fold, f"{key} {kind}, chunk_index int, token_start int, token_end int, text string")
 
 
 def chunk_config(kind: Column, stage: str) -> Column:

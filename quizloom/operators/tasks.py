@@ -44,8 +44,8 @@ def with_cached(records: DataFrame, cached: DataFrame, key: str, work: Callable[
     return fresh.unionByName(cached.join(records.select(key).distinct(), key, "left_semi").select(*fresh.columns))
 
 
-def deal(records: DataFrame, order: str, n: int) -> DataFrame:
-    """Round robin by the position in order, counted within ranges of order, so no task holds all rows.
+def numbered(records: DataFrame, order: str, name: str) -> DataFrame:
+    """records with their position in order, from 0, counted within ranges of order, so no task holds all rows.
 
     The ranges are stored: were they drawn again for the second job, their bounds could differ from those
     that were counted.  Rows that are equal in order go to one range and follow each other there in any order.
@@ -58,7 +58,12 @@ def deal(records: DataFrame, order: str, n: int) -> DataFrame:
         before += sizes[p]
     inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     offset = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
-    return inside.withColumn("worker", F.pmod(offset + F.col("_at") - 1, F.lit(n)).cast("bigint")).drop("_part", "_at")
+    return inside.withColumn(name, (offset + F.col("_at") - 1).cast("bigint")).drop("_part", "_at")
+
+
+def deal(records: DataFrame, order: str, n: int) -> DataFrame:
+    """Round robin by the position in order."""
+    return numbered(records, order, "_position").withColumn("worker", F.pmod(F.col("_position"), F.lit(n)).cast("bigint")).drop("_position")
 
 
 def progress(log: DataFrame) -> DataFrame:

@@ -213,6 +213,8 @@ def pack_units(spark, sf):
     return chunks.pack(table(spark, sf, "documents"), "doc_id", 512, 96)
 
 
+ORACLES["word_chunks"] = ORACLES["chunk_windows"]
+
 MD = "concat('intro ', conv_id, chr(10), '# First *', conv_id, '*', chr(10), text, chr(10), '## Second part', chr(10), 'b', chr(10), '#none')"
 
 

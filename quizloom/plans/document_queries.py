@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quizloom.functions import values as V
-from quizloom.operators import build, convert, passes, scoring, tasks
+from quizloom.operators import build, convert, keywords, passes, scoring, table_functions, tasks, token_counts
+from quizloom.operators.completions import Completions
 from quizloom.plans.fixtures import table
 from quizloom.plans.model_queries import digit, make
-from quizloom.sources import records
+from quizloom.sources import document_files, records, sinks
+from quizloom.sources.scratch import new_dir, store
+from quizloom.streaming import buffer
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +146,86 @@ def cached_results(spark, sf):
     cached = table(spark, sf, "labels").select("doc_id", F.concat(F.lit("cached "), "quality").alias("result"))
     work = lambda rows: rows.withColumn("result", F.lit("new"))
     return tasks.with_cached(table(spark, sf, "documents").select("doc_id"), cached, "doc_id", work)
+
+
+def counting():
+    """A client that counts characters."""
+    return lambda text, model: ("", len(text), 0)
+
+
+@query("""select sha256(line) as digest, cast(length(line) as integer) as n from (select distinct unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) z""")
+def line_counts(spark, sf):
+    """The count of every distinct line of the documents; the second run finds all counts in the log."""
+    lines = table(spark, sf, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    log = Completions(counting, new_dir(spark, "log"))
+    token_counts.counted(lines, "m", log)
+    return token_counts.counted(lines, "m", Completions(counting, log.path))
+
+
+@query()
+def pack_counted(spark, sf):
+    """Chunks of all documents, packed by the counts of a client."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.pack_counted(docs, "doc_id", 3000, 300, "m", Completions(counting, new_dir(spark, "log")))
+
+
+_KEYS = "select distinct w from (select unnest(regexp_split_to_array(lower(text), '[^a-zäöüßéèêçàñóíúá]+')) as w from documents) z where length(w) >= 13"
+
+
+@query(f"""with k as ({_KEYS}), h as (select doc_id, min_by(w, md5(w)) as word from documents, k where contains(lower(text), w) group by doc_id)
+select d.doc_id, coalesce(h.word, '-') as word from documents d left join h on h.doc_id = d.doc_id""")
+def keyword_lookup(spark, sf):
+    """The first of all long words of the corpus, in order of their MD5, that each document holds."""
+    docs = table(spark, sf, "documents")
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-zäöüßéèêçàñóíúá]+")).alias("keyword")).where(F.length("keyword") >= 13).distinct()
+    listed = store(words.select("keyword", F.col("keyword").alias("value"), F.md5("keyword").alias("priority")), "long-words")
+    return keywords.first_keyword(docs, "text", listed, "word", "-").select("doc_id", "word")
+
+
+@query("select doc_id, number from (select doc_id, case " + " ".join("when " + " or ".join(f"contains(lower(text), '{k}')" for k in ks) + f" then '{n}'" for n, ks in V.DISCIPLINE_KEYWORDS) + " else '0' end as number from documents) z")
+def keyword_disciplines(spark, sf):
+    """The discipline's number by the table of its keywords, in place of a chain of cases."""
+    listed = keywords.keyword_table(spark, V.DISCIPLINE_KEYWORDS)
+    return keywords.first_keyword(table(spark, sf, "documents"), "text", listed, "number", "0").select("doc_id", "number")
+
+
+def word_chunks(spark, sf):
+    """The windows of all documents by a table function in SQL."""
+    table_functions.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("_chunk_documents")
+    return spark.sql(
+        "select doc_id, c.chunk_index, c.token_start, c.token_end, md5(c.text) as text_md5 from _chunk_documents, lateral word_chunks(text, 512, 96) c"
+    )
+
+
+QUERIES["word_chunks"] = word_chunks
+
+
+@query("select concat(source, '/', doc_id, '.md') as path, md5(coalesce(text, '')) as text_md5 from documents")
+def document_files_round_trip(spark, sf):
+    """All documents as one file each, read again by the same data source."""
+    document_files.register(spark)
+    root = new_dir(spark, "files")
+    rows = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), "text")
+    rows.write.format("document_files").mode("append").save(root)
+    return spark.read.format("document_files").option("suffixes", ".md").load(root).select("path", F.md5("text").alias("text_md5"))
+
+
+@query("select md5(url) as item_id, url as source_path, 'completed' as status from pages where page_id % 10 <> 3")
+def buffer_follow(spark, sf):
+    """Every page enqueued twice, before and while the stream runs, is worked on once; the stream ends by its producer's mark."""
+    root = new_dir(spark, "follow")
+    pages = table(spark, sf, "pages")
+    rows = pages.select(F.col("url").alias("source_path"), F.concat("page_id", F.lit(".mmd")).alias("markdown_path"), F.concat("page_id", F.lit(".json")).alias("metadata_path"), F.lit("MCQ").alias("Type"))
+    sinks.enqueue(rows, f"{root}/new")
+
+    def process(items):
+        bad = F.col("markdown_path").rlike(r"3\.mmd$")
+        return items.withColumn("status", F.when(bad, "failed").otherwise("completed")).withColumn("error", F.when(bad, "no text"))
+
+    work = lambda **more: buffer.follow(buffer.once(buffer.queue(spark, f"{root}/new")), process, f"{root}/done", f"{root}/failed", f"{root}/checkpoint", poll=0.5, **more)
+    work(idle=0.0)
+    sinks.enqueue(rows, f"{root}/new")
+    spark.range(1).write.parquet(f"{root}/mark")
+    work(done_mark=f"{root}/mark")
+    return spark.read.parquet(f"{root}/done").select("item_id", "source_path", "status")

@@ -202,6 +202,16 @@ def benchmark_items(spark: SparkSession, path: str) -> DataFrame:
     return each
 
 
+def benchmark_rest(spark: SparkSession, path: str) -> str:
+    """The members of a benchmark file that are no category, as a JSON object."""
+    whole = F.try_parse_json("value")
+    names = F.filter(F.json_object_keys("value"), lambda n: ~n.isin(*V.CATEGORIES))
+    member = lambda n: F.try_variant_get(whole, F.concat(F.lit("$['"), n, F.lit("']")), "variant")
+    raw = spark.read.text(path, wholetext=True)
+    told = raw.select(F.to_json(F.map_from_arrays(names, F.transform(names, member))).alias("rest")).first()
+    return told["rest"] if told and told["rest"] else "{}"
+
+
 def resumed(spark: SparkSession, output: str, fresh: DataFrame, force: bool = False) -> DataFrame:
     """The table written at output by an earlier run, or fresh."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
+from quizloom.functions import values as V
 from quizloom.sources.scratch import delete
 
 
@@ -69,6 +70,25 @@ def write_texts(docs: DataFrame, path: str, key: str, text: str) -> None:
     docs.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_benchmark(items: DataFrame, path: str, rest: str = "{}") -> None:
+    """items: category, item_index, item (JSON).  One JSON object of lists in order of item_index, with the members of rest before them.
+
+    The format is one file, so its lines pass through one task, which sorts them on disk and holds none; each item is one line.
+    """
+    spark, at = items.sparkSession, {c: i for i, c in enumerate(V.CATEGORIES)}
+    place = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("category"))
+    last = Window.partitionBy("category")
+    end = F.when(F.col("item_index") == F.max("item_index").over(last), "").otherwise(",")
+    lines = items.select(place.alias("a"), F.lit(1).alias("b"), F.col("item_index").cast("long").alias("c"), F.concat(F.to_json(F.parse_json("item")), end).alias("value"))
+    members = json.dumps(json.loads(rest), ensure_ascii=False)[1:-1]
+    frame = [(-1, 0, 0, "{" + members + ("," if members else ""))]
+    for c, i in at.items():
+        frame += [(i, 0, 0, f"{json.dumps(c)}: ["), (i, 2, 0, "]" if i + 1 == len(at) else "],")]
+    frame.append((len(at), 0, 0, "}"))
+    whole = lines.unionByName(spark.createDataFrame(frame, "a int, b int, c long, value string"))
+    whole.repartition(1).sortWithinPartitions("a", "b", "c").select("value").write.mode("overwrite").text(path)
+
+
 def replace_or_remove(df: DataFrame, path: str, columns: list[str]) -> bool:
     """A report as CSV; where it has no rows, an older one at path is removed.  Whether there are rows."""
     if df.isEmpty():

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quizloom.sources.scratch import exists
+
 QUEUE = "item_id string, source_path string, markdown_path string, metadata_path string, type string"
 
 
@@ -17,15 +20,11 @@ def queue(spark: SparkSession, landing: str, schema: str = QUEUE, files_per_batc
     return read.option("maxFilesPerTrigger", files_per_batch).json(landing)
 
 
-def drain(
-    items: DataFrame, process: Callable[[DataFrame], DataFrame], results: str, failed: str, checkpoint: str, key: str = "item_id"
-) -> StreamingQuery:
-    """Works off all items that are there and stops.
+Process = Callable[[DataFrame], DataFrame]
 
-    process adds status and error; rows whose status is failed, and lines that didn't parse, go to failed, all others to
-    results.  Each batch overwrites its own folder, so a batch that is repeated after a loss
-    leaves the same rows.
-    """
+
+def _work(process: Process, results: str, failed: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A batch's function: process adds status and error; what failed, and lines that didn't parse, go to failed, all others to results."""
 
     def batch(rows: DataFrame, number: int) -> None:
         bad = rows.where(F.col(key).isNull())
@@ -38,9 +37,55 @@ def drain(
         finally:
             done.unpersist()
 
+    return batch
+
+
+def drain(items: DataFrame, process: Process, results: str, failed: str, checkpoint: str, key: str = "item_id") -> StreamingQuery:
+    """Works off all items that are there and stops.  Each batch overwrites its own folder, so a batch that is repeated after a loss leaves the same rows."""
+    batch = _work(process, results, failed, key)
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once(items: DataFrame, key: str = "item_id", arrived: str | None = None, within: str = "1 day") -> DataFrame:
+    """Each key's first item over all batches, by a state that the stream's checkpoint keeps.
+
+    Lines that don't parse are told apart by their text.  With a column arrived (a time), a key is forgotten when it is
+    older than within, which bounds the state; without one it holds a hash for every key.
+    """
+    keyed = items.withColumn("_key", F.xxhash64(F.coalesce(key, "_bad"), F.sha2(F.coalesce(key, "_bad"), 256)))
+    kept = keyed.dropDuplicates(["_key"]) if arrived is None else keyed.withWatermark(arrived, within).dropDuplicatesWithinWatermark(["_key"])
+    return kept.drop("_key")
+
+
+def follow(
+    items: DataFrame, process: Process, results: str, failed: str, checkpoint: str, key: str = "item_id", poll: float = 2.0, idle: float = 20.0,
+    done_mark: str | None = None,
+) -> str:
+    """Works on items as they come until the producer has left its mark, or nothing came for idle seconds; which of the two: done or idle.
+
+    Either way what had come by then is worked off.  A stream that is started again with the same checkpoint goes on where this one ended.
+    """
+    spark = items.sparkSession
+    batch = _work(process, results, failed, key)
+    query = items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, int(poll * 1000))} milliseconds").start()
+    last, seen = time.monotonic(), -1
+    try:
+        while True:
+            time.sleep(poll / 2)
+            if query.exception() is not None:
+                raise query.exception()
+            for p in query.recentProgress:
+                if p["batchId"] > seen:
+                    seen = p["batchId"]
+                    last = time.monotonic() if p["numInputRows"] else last
+            done = done_mark is not None and exists(spark, done_mark)
+            if done or time.monotonic() - last >= idle and not query.status["isTriggerActive"]:
+                query.processAllAvailable()
+                return "done" if done else "idle"
+    finally:
+        query.stop()
+
+
 def latest(spark: SparkSession, results: str, key: str = "item_id") -> DataFrame:
     """The newest result of each key over all batches."""
     rows = spark.read.parquet(results)
