@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quizloom.llm import bits, words
 from quizloom.llm.components import components, extended
-from quizloom.llm.scratch import store
+from quizloom.llm.scratch import small_batches, store
 
 WORDS = 5
 TREES, DEPTH, MIN_DEPTH = 16, 8, 2
@@ -403,6 +403,11 @@ def _enough_forced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    with small_batches(docs.sparkSession):  # all that passes through Python is stored here
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = store(signed_documents(docs), "signed")
     shingled = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = store(
