@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizloom.functions import replies
@@ -127,11 +127,9 @@ def flatten_questions(records: DataFrame) -> DataFrame:
 def merge_summary(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows (question_type, path, ordinal, payload): a fresh row takes the place of the one with its key, others are appended."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
-    key = Window.partitionBy("question_type", "path")
-    last = key.orderBy(F.col("_new").desc(), F.col("ordinal").desc())
-    ranked = both.withColumn("_n", F.row_number().over(last)).withColumn("_at", F.min(F.struct("_new", "ordinal")).over(key))
-    kept = ranked.where("_n = 1").drop("_n", "ordinal")
-    return kept.select("question_type", "path", F.col("_at._new").alias("appended"), F.col("_at.ordinal").alias("ordinal"), "payload")
+    at = F.struct("_new", "ordinal")
+    rows = both.groupBy("question_type", "path").agg(F.max_by(F.struct("payload"), at).alias("_last"), F.min(at).alias("_at"))
+    return rows.select("question_type", "path", F.col("_at._new").alias("appended"), F.col("_at.ordinal").alias("ordinal"), F.col("_last.payload").alias("payload"))
 
 
 #: Characters of an error that a fallback record tells.

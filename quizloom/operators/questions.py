@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizloom.functions import replies
@@ -104,11 +104,14 @@ def valid_tags(number: Column, level: Column) -> Column:
 
 
 def dedup_first(items: DataFrame, keys: list[str], question: str, order: str) -> DataFrame:
-    """The first item of each normalised question within keys; blank questions go."""
-    normal = T.normalize_question(F.col(question))
-    w = Window.partitionBy(*keys, "_q").orderBy(order)
-    ranked = items.withColumn("_q", normal).where(F.col("_q") != "").withColumn("_n", F.row_number().over(w))
-    return ranked.where("_n = 1").drop("_q", "_n")
+    """The first item of each normalised question within keys; blank questions go.
+
+    Questions meet by their SHA-256, and tasks keep the first of each before anything is shuffled, so a question that
+    many items share is one row a task.
+    """
+    rows = items.withColumn("_q", T.normalize_question(F.col(question))).where(F.col("_q") != "")
+    first = F.min_by(F.struct(*items.columns), F.struct(order)).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.sha2("_q", 256).alias("_sha")).agg(first).select("_row.*")
 
 
 def validation(c: Column, e: Column, a: Column) -> Column:
@@ -118,9 +121,10 @@ def validation(c: Column, e: Column, a: Column) -> Column:
 
 
 def best_candidate(candidates: DataFrame, key: str, passed: str, total: str, order: str) -> DataFrame:
-    """The best by (passed, total), the earliest among equals."""
-    w = Window.partitionBy(key).orderBy(F.col(passed).desc(), F.col(total).desc(), F.col(order).asc())
-    return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The best by (passed, total), both numbers, the earliest among equals; tasks keep the best of each key before the shuffle."""
+    least = F.struct(F.col(passed).isNull(), -F.col(passed), F.col(total).isNull(), -F.col(total), order)
+    rows = candidates.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*candidates.columns), least).alias("_row"))
+    return rows.select("_row.*")
 
 
 def refine(candidates: DataFrame, ok: Column, again: Callable[[DataFrame, int], DataFrame], rounds: int = 3) -> DataFrame:

@@ -28,10 +28,10 @@ def pending_risks(responses: DataFrame, models: list[str], force: bool = False)
 
 
 def upsert(history: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The last version of each key, with position: the key's first version."""
-    newest, first = Window.partitionBy(*keys).orderBy(F.col(version).desc()), Window.partitionBy(*keys)
-    ranked = history.withColumn("position", F.min(version).over(first)).withColumn("_rank", F.row_number().over(newest))
-    return ranked.where("_rank = 1").drop("_rank")
+    """The last version of each key, with position: the key's first version.  Tasks keep one row a key before the shuffle."""
+    last = F.max_by(F.struct(*history.columns), F.struct(version)).alias("_row")
+    rows = history.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(last, F.min(version).alias("position"))
+    return rows.select("_row.*", "position")
 
 
 def skip_existing(records: DataFrame, done: DataFrame, key: str = "output_path") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.functions import ocr
@@ -272,6 +272,11 @@ def _list(rows: list) -> str:
     return ", ".join(f"({i}, " + ("null" if x is None else "'" + str(x).replace("'", "''") + "'") + ")" for i, x in enumerate(rows))
 
 
+def _turn_values(spark, sf, x) -> DataFrame:
+    """Rows (i, x), one for each turn of the conversations."""
+    return table(spark, sf, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("i"), x.alias("x"))
+
+
 LETTERS = ["I think A", "Option (c)", "b.", "answer: D", "Request failed: 401", "1", "x_A", "A-1", None, "", "  e "]
 
 
@@ -284,12 +289,15 @@ def option_letter(spark, sf):
 RISK_TEXTS = ["0", "1", "2", "3", "4", "s2", "Level S1.", "risk 3", "S3", "S2/S1", None, "", "True", "S0", "12", "1.0"]
 
 
-@query(rf"""with v as (select * from (values {_list(RISK_TEXTS)}) t(i, x)), u as (select i, upper(trim(coalesce(x, ''))) as u from v)
+@query(rf"""with v as (select * from (values {_list(RISK_TEXTS)}) t(i, x) union all select cast(1000 + conv_id * 100 + turn as integer),
+case turn % 4 when 0 then 'level s' || (conv_id % 4) when 1 then cast(conv_id % 5 as varchar) when 2 then 'Risk ' || (conv_id % 4) || ' of ' || role else role end from conversations), u as (select i, upper(trim(coalesce(x, ''))) as u from v)
 select i, case when u in ('S0', 'S1', 'S2') then u when u in ('0', '1') then 'S0' when u = '2' then 'S1' when u = '3' then 'S2'
 when regexp_matches(u, '\bS[012]\b') then concat('S', regexp_extract(u, '\bS([012])\b', 1))
 when regexp_matches(u, '\b[123]\b') then concat('S', cast(regexp_extract(u, '\b([123])\b', 1) as integer) - 1) else '' end as risk from u""")
 def risk_level_norm(spark, sf):
-    return _values(spark, "x", "string", RISK_TEXTS).select("i", T.risk_level(F.col("x")).alias("risk"))
+    kind, n = F.col("turn") % 4, F.col("conv_id")
+    told = F.when(kind == 0, F.concat(F.lit("level s"), n % 4)).when(kind == 1, (n % 5).cast("string")).when(kind == 2, F.concat(F.lit("Risk "), n % 4, F.lit(" of "), "role")).otherwise(F.col("role"))
+    return _values(spark, "x", "string", RISK_TEXTS).unionByName(_turn_values(spark, sf, told)).select("i", T.risk_level(F.col("x")).alias("risk"))
 
 
 FLAGS = ["true", "1", " YES ", "correct", "hit", "1.0", "2", "no", "", None, "Hit "]
@@ -307,10 +315,20 @@ def judge_flags(spark, sf):
 TAGS = ["8\nL2", "14\nL3", "L2\n8", "15\nL1", "Dental discipline: 3 of 14", "None L3", "12. Orthodontics", "it is oral implantology, l1", "", None, "nothing said"]
 
 
-@query(f"select t.i, number, coalesce(name, '') as name, level from (values {', '.join(f'({i}, {n}, {chr(39)}{lv}{chr(39)})' for i, (n, lv) in enumerate([(8, 'L2'), (14, 'L3'), (8, 'L2'), (10, 'L1'), (3, 'L2'), (10, 'L3'), (12, 'L2'), (10, 'L1'), (10, 'L2'), (10, 'L2'), (10, 'L2')]))}) t(i, number, level) left join (values {', '.join(f'({n}, {chr(39)}{x}{chr(39)})' for n, x in V.DISCIPLINES.items())}) d(n, name) on n = number")
+_TOLD = ", ".join(f"({i}, {n}, '{lv}')" for i, (n, lv) in enumerate([(8, "L2"), (14, "L3"), (8, "L2"), (10, "L1"), (3, "L2"), (10, "L3"), (12, "L2"), (10, "L1"), (10, "L2"), (10, "L2"), (10, "L2")]))
+_NAMES = ", ".join(f"({n}, '{x}')" for n, x in V.DISCIPLINES.items())
+
+
+@query(f"""with t as (select * from (values {_TOLD}) t(i, number, level)
+union all select cast(1000 + conv_id * 100 + turn as integer), case when turn % 3 = 2 then conv_id % 14 + 1 when conv_id % 17 between 1 and 14 then conv_id % 17 else 10 end, case when turn % 3 = 2 or turn % 5 > 2 then 'L2' else 'L' || (turn % 5 + 1) end from conversations)
+select i, number, coalesce(name, '') as name, level from t left join (values {_NAMES}) d(n, name) on n = number""")
 def tags_parse(spark, sf):
+    """Literal replies, and for each turn a number and a level, in or out of range, or the discipline's name."""
     tags = T.parse_tags(F.col("x"), F.lit("Peri-implant gingival loss and its symptoms"))
-    return _values(spark, "x", "string", TAGS).select("i", tags.alias("t")).select("i", "t.*")
+    n = F.col("conv_id")
+    named = F.concat(F.lit("It is "), F.upper(T.discipline_name((n % 14 + 1).cast("int"))))
+    told = F.when(F.col("turn") % 3 == 2, named).otherwise(F.concat(n % 17, F.lit("\nl"), F.col("turn") % 5 + 1))
+    return _values(spark, "x", "string", TAGS).unionByName(_turn_values(spark, sf, told)).select("i", tags.alias("t")).select("i", "t.*")
 
 
 @query("select conv_id, turn, concat('Role: ', role, chr(10), 'Text: ', text, chr(10), '{other}') as prompt from conversations")
@@ -352,17 +370,23 @@ def props_variant(spark, sf):
     return table(spark, sf, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+def _marked() -> Column:
+    """Each turn's text with a region behind it."""
+    label = F.when(F.col("turn") % 2 == 0, "image").otherwise(F.col("role"))
+    return F.concat("text", F.lit("<|ref|>"), label, F.lit("<|/ref|><|det|>[["), "conv_id", F.lit(", "), "turn", F.lit(",5,6]]<|/det|>"))
+
+
 PAGES = ["a<|ref|>image<|/ref|><|det|>[[0,0,999,999]]<|/det|>b", "<|ref|>title<|/ref|><|det|>[[10, 20, 30, 40],[1,2,3,4]]<|/det|>\n\n\n\nt \\coloneqq x", "plain", "x<|ref|>image<|/ref|><|det|>[[1,1,2,2]]<|/det|><|ref|>image<|/ref|><|det|>[[5,5,6,6]]<|/det|>"]
 
 
-@query("select * from (values (0, 'image', '[[0,0,999,999]]'), (1, 'title', '[[10, 20, 30, 40],[1,2,3,4]]'), (3, 'image', '[[1,1,2,2]]'), (3, 'image', '[[5,5,6,6]]')) t(i, label, boxes)")
+@query("select * from (values (0, 'image', '[[0,0,999,999]]'), (1, 'title', '[[10, 20, 30, 40],[1,2,3,4]]'), (3, 'image', '[[1,1,2,2]]'), (3, 'image', '[[5,5,6,6]]')) t(i, label, boxes) union all select cast(1000 + conv_id * 100 + turn as integer), case when turn % 2 = 0 then 'image' else role end, '[[' || conv_id || ', ' || turn || ',5,6]]' from conversations")
 def ocr_refs(spark, sf):
-    return _values(spark, "x", "string", PAGES).select("i", F.explode(ocr.references(F.col("x"))).alias("r")).select("i", "r.label", "r.boxes")
+    return _values(spark, "x", "string", PAGES).unionByName(_turn_values(spark, sf, _marked())).select("i", F.explode(ocr.references(F.col("x"))).alias("r")).select("i", "r.label", "r.boxes")
 
 
-@query("select 0 as i, 'a![](images/0_0.jpg)' || chr(10) || 'b' as text union all select 1, chr(10) || chr(10) || 't := x' union all select 2, 'plain' union all select 3, 'x![](images/3_0.jpg)' || chr(10) || '![](images/3_1.jpg)' || chr(10)")
+@query("select 0 as i, 'a![](images/0_0.jpg)' || chr(10) || 'b' as text union all select 1, chr(10) || chr(10) || 't := x' union all select 2, 'plain' union all select 3, 'x![](images/3_0.jpg)' || chr(10) || '![](images/3_1.jpg)' || chr(10) union all select i, regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') || case when turn % 2 = 0 then '![](images/' || i || '_0.jpg)' || chr(10) else '' end from (select cast(1000 + conv_id * 100 + turn as integer) as i, turn, text from conversations) z")
 def ocr_strip(spark, sf):
-    return _values(spark, "x", "string", PAGES).select("i", ocr.strip_references(F.col("x"), F.col("i")).alias("text"))
+    return _values(spark, "x", "string", PAGES).unionByName(_turn_values(spark, sf, _marked())).select("i", ocr.strip_references(F.col("x"), F.col("i")).alias("text"))
 
 
 @query("select o_orderkey, cast((o_orderkey % 1000) / 999.0::double * 1240 as double) as x from orders where false union all select o_orderkey, cast(floor(cast(o_orderkey % 1000 as double) / 999 * 1240) as double) from orders")
