@@ -93,7 +93,7 @@ def _by_category(columns: dict[str, Column]) -> Column:
 
 
 def judge_risks(answers: DataFrame, judge: str, prompt: str, make: Make, existing: DataFrame | None = None, force: bool = False) -> DataFrame:
-    """answers: item_index, model, question, points, answer.  Each with risk_level, reason, status and error.
+    """answers: item_index, model, question, points, answer.  Each with risk_level, reason, status, error, judge_config and tagged_at (UTC).
 
     existing: what an earlier run returned.  Its valid levels stay unless force; failed ones are judged again.
     """
@@ -109,7 +109,8 @@ def judge_risks(answers: DataFrame, judge: str, prompt: str, make: Make, existin
     told = asked.withColumn("risk", risk)
     return told.select(
         *keys, F.coalesce("risk.risk_level", F.lit("")).alias("risk_level"), "risk.reason",
-        F.coalesce("risk.status", F.lit("failed")).alias("status"), F.coalesce("risk.error", "error").alias("error"),
+        F.coalesce("risk.status", F.lit("failed")).alias("status"), F.coalesce("risk.error", "error").alias("error"), F.lit(judge).alias("judge_config"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("tagged_at"),
     )
 
 

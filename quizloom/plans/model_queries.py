@@ -105,7 +105,7 @@ def evaluate_items(spark, sf):
 
 def judge_risks(spark, sf):
     answers = _items(spark, sf).where("category = 'CBQ'").withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1")))).withColumn("answer", F.concat("model", F.lit(" says")))
-    return passes.judge_risks(answers, "judge", "RISK {question} | {points} | {answer}", make)
+    return passes.judge_risks(answers, "judge", "RISK {question} | {points} | {answer}", make).drop("tagged_at")
 
 
 def _chunks(spark, sf):
@@ -236,7 +236,7 @@ case when category = 'MCQ' then null when {digit('jp', 0)} < 12 then cast({digit
 case when category = 'MCQ' then null when {digit('jp', 0)} < 12 then 'r' || {digit('jp', 2)} else 'Judge did not return JSON: unsure' end as reason, 'ok' as status from j""",
     "judge_risks": f"""with c as (select item_id as item_index, model, 'RISK ' || text || ' | 1. k | ' || model || ' says' as p from benchmark, (values ('m0'), ('m1')) t(model) where item_id % 3 = 2)
 select item_index, model, case {_RISK} when 0 then 'S1' when 3 then '' else 'S2' end as risk_level, case {_RISK} when 0 then 'a' when 1 then 'it is level S2' when 2 then 'b' else 'no idea' end as reason,
-case {_RISK} when 3 then 'failed' else 'completed' end as status, case {_RISK} when 3 then 'Invalid risk level from judge: no idea' end as error from c""",
+case {_RISK} when 3 then 'failed' else 'completed' end as status, case {_RISK} when 3 then 'Invalid risk level from judge: no idea' end as error, 'judge' as judge_config from c""",
     "generate_failures": f"select conv_id, turn as chunk_index, 'no JSON list' as error from conversations where {digit(chr(39) + 'ITEMS ' + chr(39) + ' || text', 0)} >= 14",
     "structure_reports": f"""with c as (select conv_id, turn as chunk_index, 'STRUCTURE ' || text as p from conversations), d as (select *, {digit('p', 0)} % 4 <> 0 as ok from c)
 select conv_id, chunk_index, case when ok then 's' || {digit('p', 3)} else '' end as chunk_summary, case when ok then 'a|5' else '' end as titles, case when ok then 1 else 0 end as n_sections,

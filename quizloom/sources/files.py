@@ -15,13 +15,17 @@ from pyspark.sql import types as S
 
 from quizloom.functions import text as T
 from quizloom.functions import values as V
+from quizloom.sources.scratch import is_file
 
 
 def input_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, length, suffix, tool of the supported files, in path order; contents stay unread until they are selected."""
+    """path, length, suffix, tool of the supported files, in path order; contents stay unread until they are selected.
+
+    A path that names one file is that file, whatever its suffix.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     rows = read.load(path).withColumn("suffix", T.suffix(F.col("path"))).withColumn("tool", T.conversion_tool(F.col("path")))
-    return rows.where(F.col("tool").isNotNull()).orderBy("path")
+    return rows if is_file(spark, path) else rows.where(F.col("tool").isNotNull()).orderBy("path")
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

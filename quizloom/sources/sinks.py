@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,25 +71,38 @@ def write_texts(docs: DataFrame, path: str, key: str, text: str) -> None:
     docs.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
-def write_benchmark(items: DataFrame, path: str, rest: str = "{}") -> None:
-    """items: category, item_index, item (JSON).  One JSON object of lists in order of item_index, with the members of rest before them.
+def write_lists(items: DataFrame, names: Sequence[str], path: str, rest: str = "{}") -> None:
+    """items: name, ordinal, item (JSON).  One JSON object: the members of rest, then a list under each name, in order of ordinal.
 
     The format is one file, so its lines pass through one task, which sorts them on disk and holds none; each item is one line.
     """
-    spark, at = items.sparkSession, {c: i for i, c in enumerate(V.CATEGORIES)}
-    place = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("category"))
-    last = Window.partitionBy("category")
-    end = F.when(F.col("item_index") == F.max("item_index").over(last), "").otherwise(",")
-    lines = items.select(place.alias("a"), F.lit(1).alias("b"), F.col("item_index").cast("long").alias("c"), F.concat(F.to_json(F.parse_json("item")), end).alias("value"))
+    place = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("name"))
+    last = F.col("ordinal") == F.max("ordinal").over(Window.partitionBy("name"))
+    line = F.concat(F.to_json(F.parse_json("item")), F.when(last, "").otherwise(","))
+    lines = items.select(place.alias("a"), F.lit(1).alias("b"), F.col("ordinal").cast("long").alias("c"), line.alias("value"))
     members = json.dumps(json.loads(rest), ensure_ascii=False)[1:-1]
     frame = [(-1, 0, 0, "{" + members + ("," if members else ""))]
-    for c, i in at.items():
-        frame += [(i, 0, 0, f"{json.dumps(c)}: ["), (i, 2, 0, "]" if i + 1 == len(at) else "],")]
-    frame.append((len(at), 0, 0, "}"))
-    whole = lines.unionByName(spark.createDataFrame(frame, "a int, b int, c long, value string"))
+    for i, n in enumerate(names):
+        frame += [(i, 0, 0, f"{json.dumps(n)}: ["), (i, 2, 0, "]" if i + 1 == len(names) else "],")]
+    frame.append((len(names), 0, 0, "}"))
+    whole = lines.unionByName(items.sparkSession.createDataFrame(frame, "a int, b int, c long, value string"))
     whole.repartition(1).sortWithinPartitions("a", "b", "c").select("value").write.mode("overwrite").text(path)
 
 
+def write_benchmark(items: DataFrame, path: str, rest: str = "{}") -> None:
+    """items: category, item_index, item (JSON).  A benchmark file, with the members of rest."""
+    write_lists(items.select(F.col("category").alias("name"), F.col("item_index").alias("ordinal"), "item"), V.CATEGORIES, path, rest)
+
+
+def write_run_summary(done: DataFrame, path: str) -> None:
+    """done: source_path, status, error and what else a record holds.  A stage's summary: processed_files, and failed_files with source_path and error."""
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    told = F.when(failed, F.to_json(F.struct("source_path", "error"))).otherwise(F.to_json(F.struct(*[c for c in done.columns if c not in ("status", "error")])))
+    rows = done.select(F.when(failed, "failed_files").otherwise("processed_files").alias("name"), "source_path", told.alias("item"))
+    numbered = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("name").orderBy("source_path")))
+    write_lists(numbered, ("processed_files", "failed_files"), path)
+
+
 def replace_or_remove(df: DataFrame, path: str, columns: list[str]) -> bool:
     """A report as CSV; where it has no rows, an older one at path is removed.  Whether there are rows."""
     if df.isEmpty():

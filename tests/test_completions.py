@@ -175,3 +175,5 @@ def test_risks_resume(spark, tiny):
     assert keyed(judge(existing=first)) == {k: (v[0], "kept" if v[0] else v[1]) for k, v in whole.items()}
     assert keyed(judge(existing=first, force=True)) == whole
     assert "" in {v[0] for v in whole.values()}
+    told = judge().first()
+    assert told["judge_config"] == "j" and told["tagged_at"].endswith("+00:00")

@@ -58,6 +58,20 @@ def test_benchmark_file_keeps_what_it_does_not_know(spark, tmp_path):
     assert json.loads(written.read_text()) == {"MCQ": [], "SAQ": [], "CBQ": []}
 
 
+def test_run_summary(spark, tmp_path):
+    rows = [("b", "completed", None, 3), ("a", "completed", None, 4), ("c", "failed", "broken", None)]
+    sinks.write_run_summary(spark.createDataFrame(rows, "source_path string, status string, error string, n int"), str(tmp_path / "s"))
+    (written,) = (tmp_path / "s").glob("part-*")
+    assert json.loads(written.read_text()) == {"processed_files": [{"source_path": "a", "n": 4}, {"source_path": "b", "n": 3}], "failed_files": [{"source_path": "c", "error": "broken"}]}
+
+
+def test_a_single_file_is_read_whatever_its_suffix(spark, tmp_path):
+    for name in ("a.zip", "b.html", "c.md"):
+        (tmp_path / name).write_text("x")
+    names = lambda path: [r["path"].rpartition("/")[2] for r in files.input_files(spark, str(path)).select("path").collect()]
+    assert names(tmp_path) == ["b.html", "c.md"] and names(tmp_path / "a.zip") == ["a.zip"]
+
+
 def _line(i, source="s"):
     return json.dumps({"item_id": str(i), "source_path": source, "markdown_path": "m", "metadata_path": "d", "type": "MCQ"})
 
