@@ -110,3 +110,16 @@ def test_whole_table(spark, tiny):
         blocks = [" ".join(unescape(re.sub("<b>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert got[page["page_id"]]["text"] == "\n".join(filter(None, blocks))
         assert got[page["page_id"]]["n_chars"] == len(got[page["page_id"]]["text"])
+
+
+def test_any_string_of_tags_is_read():
+    rng = np.random.default_rng(5)
+    parts = [
+        "<div>", "</div>", "<p>", "</p>", "<article>", "</article>", "<li>", "<ul>", "</ul>", "<b>", "<a href=x>", "</a>", "<td>", "<table>", "</table>", "<script>", "</script>", "<title>",
+        "<!--", "-->", "<", ">", "&amp;", "&", "&#xD800;", "&#0;", "some words here.", "x", "<br>", "<button>", "</button>", "<svg/>", "<svg>", "<section class='comments'>", "<div class=ad>",
+        "<nav>", "</nav>", "<body>", "</body>", "</html>", '"', "'", '<p class="', "\x00", " ", "é", "<select><option>", "<form>", "</", "<a", "<dd>",
+    ]
+    for _ in range(3000):
+        text = _text("".join(rng.choice(parts, rng.integers(0, 60))))
+        text.encode()
+        assert "\n\n" not in text and text == text.strip("\n")
