@@ -213,7 +213,10 @@ def document_files_round_trip(spark, sf):
 
 @query("select md5(url) as item_id, url as source_path, 'completed' as status from pages where page_id % 10 <> 3")
 def buffer_follow(spark, sf):
-    """Every page enqueued twice, before and while the stream runs, is worked on once; the stream ends by its producer's mark."""
+    """Every page enqueued twice, before and while the stream runs, is worked on once; the stream ends by its producer's mark.
+
+    Pages of one url are items of their own, told apart by their Markdown's path.
+    """
     root = new_dir(spark, "follow")
     pages = table(spark, sf, "pages")
     rows = pages.select(F.col("url").alias("source_path"), F.concat("page_id", F.lit(".mmd")).alias("markdown_path"), F.concat("page_id", F.lit(".json")).alias("metadata_path"), F.lit("MCQ").alias("Type"))
@@ -223,7 +226,8 @@ def buffer_follow(spark, sf):
         bad = F.col("markdown_path").rlike(r"3\.mmd$")
         return items.withColumn("status", F.when(bad, "failed").otherwise("completed")).withColumn("error", F.when(bad, "no text"))
 
-    work = lambda **more: buffer.follow(buffer.once(buffer.queue(spark, f"{root}/new")), process, f"{root}/done", f"{root}/failed", f"{root}/checkpoint", poll=0.5, **more)
+    key = ["item_id", "markdown_path"]
+    work = lambda **more: buffer.follow(buffer.once(buffer.queue(spark, f"{root}/new"), key), process, f"{root}/done", f"{root}/failed", f"{root}/checkpoint", key, poll=0.5, **more)
     work(idle=0.0)
     sinks.enqueue(rows, f"{root}/new")
     spark.range(1).write.parquet(f"{root}/mark")
