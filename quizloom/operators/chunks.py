@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,24 +30,77 @@ def windows(docs: DataFrame, key: str, size: int, overlap: int) -> DataFrame:
     return rows.select(key, F.explode(every).alias("c")).select(key, "c.*")
 
 
+#: Characters that no pattern counts as white space.
+_VISIBLE = r"[^\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]"
+#: Places that a byte-level tokenizer's words never span: before a single space or line break, behind a line break, between a letter and its stop.
+_CUT = re.compile(rf"(?s:(?=[ \n.,;:!?])(?:(?<={_VISIBLE})(?=[ \n]{_VISIBLE})|(?<=[A-Za-z])(?=[.,;:!?]))|(?<=\n)(?={_VISIBLE})(?<={_VISIBLE}\n))")
+#: Pieces whose counts a task keeps at most.
+KEPT_PIECES = 400_000
+#: Texts that are cut into pieces at once.
+TEXTS_AT_ONCE = 200
+
+
+class _Tokens:
+    """Tokens of texts, by pieces that are encoded once where the tokenizer's words lie within them."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.made, self.counts = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        words, of = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        self.in_pieces = (
+            words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and of.get("type") == "BPE" and not of.get("dropout")
+            and not any(told.get(x) for x in ("normalizer", "post_processor", "truncation", "padding"))
+        )
+        self.special = [t["content"] for t in told.get("added_tokens") or []]
+
+    def encode(self, text: str):
+        return self.made.encode(text, add_special_tokens=False)
+
+    def pieces(self, texts: list[str]) -> list[list[str]]:
+        """Each text's pieces, all counted."""
+        cut = [_CUT.split(t) if self.in_pieces and not any(x in t for x in self.special) else [t] for t in texts]
+        if len(self.counts) > KEPT_PIECES:
+            self.counts.clear()
+        new = list(set().union(*cut).difference(self.counts))
+        for i in range(0, len(new), 10_000):
+            some = new[i : i + 10_000]
+            self.counts.update(zip(some, map(len, self.made.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        return cut
+
+    def windows(self, pieces: list[str], size: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+        """First token, token after the last, first character and character after the last of each window."""
+        to = list(accumulate(map(self.counts.__getitem__, pieces), initial=0))
+        at = list(accumulate(map(len, pieces), initial=0))
+
+        def place(token: int) -> tuple[int, int]:
+            i = bisect_right(to, token) - 1
+            a, b = self.encode(pieces[i]).token_to_chars(token - to[i])
+            return at[i] + a, at[i] + b
+
+        for start in range(0, to[-1], max(1, size - overlap)):
+            end = min(to[-1], start + size)
+            yield start, end, place(start)[0], place(end - 1)[1]
+            if end == to[-1]:
+                break
+
+
 def tokenizer_windows(docs: DataFrame, key: str, tokenizer: str, size: int, overlap: int) -> DataFrame:
     """The same over a tokenizer's tokens; texts are cut at the tokens' character offsets."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(tokenizer)
+        tokens = _Tokens(tokenizer)
         for batch in batches:
             out = []
-            for k, text in zip(batch[key], batch["text"], strict=True):
-                at = made.encode(text or "", add_special_tokens=False).offsets
-                for i, start in enumerate(range(0, max(0, len(at)), max(1, size - overlap))):
-                    end = min(len(at), start + size)
-                    piece = text[at[start][0] : at[end - 1][1]].strip()
-                    if piece:
-                        out.append((k, i, start, end, piece))
-                    if end == len(at):
-                        break
+            texts = [t or "" for t in batch["text"]]
+            for lo in range(0, len(texts), TEXTS_AT_ONCE):
+                some = texts[lo : lo + TEXTS_AT_ONCE]
+                for k, text, pieces in zip(batch[key][lo : lo + TEXTS_AT_ONCE], some, tokens.pieces(some), strict=True):
+                    for i, (start, end, a, b) in enumerate(tokens.windows(pieces, size, overlap)):
+                        if piece := text[a:b].strip():
+                            out.append((k, i, start, end, piece))
             yield pd.DataFrame(out, columns=[key, "chunk_index", "token_start", "token_end", "text"])
 
     kind = dict(docs.dtypes)[key]

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -67,6 +68,32 @@ def test_tokenizer_windows_overlap_as_told(spark, tiny):
             assert a["token_end"] - a["token_start"] == 512
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizer_windows_are_those_of_whole_texts(spark, name, monkeypatch):
+    """Texts of odd white space, contractions, several scripts and a special token, as offsets of one encoding tell; words that come again are encoded once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(3), public_tokenizers.path(name)
+    signs = ["a", "B", "é", "ß", "的", "😀", "1", "'s", "'", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", ".", ",", "!", "-", "the ", " of", "e\u0301", "<|endoftext|>", "\x00"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 60))) for _ in range(1500)] + ["the cat. " * 40, "", " ", "\n"]
+    made, want = Tokenizer.from_file(path), []
+    for k, text in enumerate(texts):
+        at = made.encode(text, add_special_tokens=False).offsets
+        for i, start in enumerate(range(0, len(at), 5)):
+            end = min(len(at), start + 8)
+            if piece := text[at[start][0] : at[end - 1][1]].strip():
+                want.append((k, i, start, end, piece))
+            if end == len(at):
+                break
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert sorted(map(tuple, chunks.tokenizer_windows(docs, "k", path, 8, 3).collect())) == want
+    seen, whole = [], "the cat. " * 500
+    tokens = chunks._Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "encode", lambda t, of=tokens.encode: seen.append(len(t)) or of(t))
+    assert len(list(tokens.windows(tokens.pieces([whole])[0], 512, 96))) > 2 and len(tokens.counts) == 5 and max(seen) < 6
+
+
 def test_window_of_short_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (4, " ".join("x" * 10))], "k int, text string")
     rows = {(r["k"], r["chunk_index"], r["token_start"], r["token_end"], r["text"]) for r in chunks.windows(docs, "k", 4, 1).collect()}
