@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.operators.model_calls import COLUMNS, SCHEMA, Client, Endpoint, call_models
-from quizloom.sources.scratch import delete, new_dir
+from quizloom.sources.scratch import delete, new_dir, store
 
 KEY = ["model", "prompt_sha256"]
+#: Slices whose prompts are written side by side.
+SLICES_AT_ONCE = 16
 
 
 @dataclass(frozen=True)
@@ -57,27 +59,47 @@ class Completions:
         k = max(1, -(-pending // self.every))
         return requests.withColumn("slice", F.pmod(F.xxhash64(*KEY), F.lit(k)).cast("int"))
 
+    def known(self, spark: SparkSession) -> DataFrame:
+        """Keys that aren't asked for again."""
+        done = self.read(spark)
+        return (done.where("status = 'ok'") if self.retry_failed else done).select(*KEY)
+
     def complete(self, requests: DataFrame) -> DataFrame:
         """requests: request_id, model, prompt, prompt_sha256, each key once.  Their completions, once all are logged."""
-        spark = requests.sparkSession
-        asked = requests.select("request_id", "model", "prompt", "prompt_sha256")
-        done = self.read(spark)
-        known = done.where("status = 'ok'") if self.retry_failed else done
-        missing = asked.join(known.select(*KEY), KEY, "left_anti")
-        path = new_dir(spark, "pending")
-        missing.write.parquet(path)
-        pending = spark.read.schema(missing.schema).parquet(path)
-        sliced = f"{path}-sliced"
-        self.slices(pending, pending.count()).repartition("slice").write.partitionBy("slice").parquet(sliced)
-        pending = spark.read.schema(f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in missing.schema)}, slice int").parquet(sliced)
+        asked = store(requests.select("request_id", *KEY), "asked")
+        self.ask(asked, requests)
+        return asked.join(self.read(requests.sparkSession).drop("request_id"), KEY).select(*COLUMNS)
+
+    def ask(self, asked: DataFrame, requests: DataFrame) -> None:
+        """Logs what is missing.  asked: the requests without their prompts, stored.
+
+        Only keys are compared with the log; prompts are computed where some are missing, and go to their slice's files by
+        one shuffle, in as many files as tasks call.
+        """
+        spark = asked.sparkSession
+        path = new_dir(spark, "missing")
+        asked.join(self.known(spark), KEY, "left_anti").select(*KEY).write.parquet(path)
+        missing = spark.read.schema("model string, prompt_sha256 string").parquet(path)
+        n = missing.count()
+        if n:
+            prompts = requests.select("request_id", *KEY, "prompt")
+            if n < asked.count():
+                prompts = prompts.join(missing, KEY, "left_semi")
+            self._call(prompts, n)
+        delete(spark, path)
+
+    def _call(self, prompts: DataFrame, n: int) -> None:
+        spark, path = prompts.sparkSession, new_dir(prompts.sparkSession, "pending")
         parallel = self.tasks or spark.sparkContext.defaultParallelism
+        part = F.pmod(F.xxhash64(F.lit(1), "prompt_sha256"), F.lit(parallel)).cast("int")
+        at_once = max(1, min(SLICES_AT_ONCE, -(-n // self.every)))
+        dealt = self.slices(prompts, n).repartitionById(parallel * at_once, F.col("slice") % at_once * parallel + part)
+        dealt.write.partitionBy("slice").parquet(path)
+        pending = spark.read.schema(f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in prompts.schema)}, slice int").parquet(path)
         for (number,) in sorted(map(tuple, pending.select("slice").distinct().collect())):  # one row a slice
-            part = pending.where(F.col("slice") == number).repartition(parallel, "prompt_sha256")
-            called = call_models(part, self.make, self.threads).withColumn("run", F.lit(self.run))
-            called.write.mode("append").parquet(self.path)
+            called = call_models(pending.where(F.col("slice") == number).coalesce(parallel), self.make, self.threads)
+            called.withColumn("run", F.lit(self.run)).write.mode("append").parquet(self.path)
         delete(spark, path)
-        delete(spark, sliced)
-        return asked.select("request_id", *KEY).join(self.read(spark).drop("request_id"), KEY).select(*COLUMNS)
 
 
 def usage(calls: DataFrame) -> DataFrame:

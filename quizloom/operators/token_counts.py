@@ -40,10 +40,13 @@ def digest(text: Column) -> Column:
 
 def counted(texts: DataFrame, model: str, log: Completions) -> DataFrame:
     """texts: text.  Rows (digest, n) of the distinct texts; where the client told no tokens, a text has a quarter of its characters, one at least."""
-    every = texts.select(F.coalesce("text", F.lit("")).alias("prompt")).distinct().withColumn("digest", digest(F.col("prompt")))
-    requests = every.select(F.xxhash64("prompt").alias("request_id"), F.lit(model).alias("model"), "prompt", F.col("digest").alias("prompt_sha256"))
-    done = log.complete(requests).select(F.col("prompt_sha256").alias("digest"), "input_tokens")
-    guess = F.when(F.length("prompt") > 0, F.greatest(F.lit(1), F.floor(F.length("prompt") / CHARS_PER_TOKEN))).otherwise(0)
+    lines = texts.select(F.coalesce("text", F.lit("")).alias("prompt")).withColumn("digest", digest(F.col("prompt")))
+    # Texts themselves move only where the log lacks them.
+    every = store(lines.select("digest", F.length("prompt").alias("size")).distinct(), "digests")
+    named = [F.xxhash64("digest").alias("request_id"), F.lit(model).alias("model"), F.col("digest").alias("prompt_sha256")]
+    log.ask(every.select(*named), lines.distinct().select(*named, "prompt"))
+    done = log.read(texts.sparkSession).where(F.col("model") == model).select(F.col("prompt_sha256").alias("digest"), "input_tokens")
+    guess = F.when(F.col("size") > 0, F.greatest(F.lit(1), F.floor(F.col("size") / CHARS_PER_TOKEN))).otherwise(0)
     told = F.when(F.col("input_tokens") > 0, F.col("input_tokens")).otherwise(guess)
     return store(every.join(done, "digest", "left").select("digest", told.cast("int").alias("n")), "token-counts")
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from quizloom.operators import chunks, token_counts
@@ -80,6 +81,40 @@ def test_packing_by_calls_counts_each_text_once(spark, tmp_path):
     assert len(lines) == len(set(lines)) == len({t for k, w in rows for t in [*pieces[k], w]})
 
 
+def test_texts_stay_where_the_log_has_all(spark, tmp_path):
+    """Texts are read twice in the first run, for their hashes and for the calls, and once after that; a new one is sent alone."""
+    reads, sent = spark.sparkContext.accumulator(0), tmp_path / "sent"
+    seen = F.udf(lambda t: (reads.add(1), t)[1], "string").asNondeterministic()
+    texts = spark.createDataFrame([(f"t{i % 40}" * 50,) for i in range(80)], "text string")
+
+    def make():
+        def call(text, model):
+            with open(sent, "a") as f:
+                f.write(text[:3] + "\n")
+            return "", len(text), 0
+
+        return call
+
+    def run(rows):
+        before = reads.value
+        got = token_counts.counted(rows.select(seen("text").alias("text")), "m", Completions(make, str(tmp_path / "log"), every=7)).collect()
+        assert sorted(r["n"] for r in got) == sorted(len(r["text"]) for r in rows.distinct().collect())
+        return reads.value - before
+
+    assert run(texts) == 160 and run(texts) == 80
+    assert len(sent.read_text().split()) == 40
+    run(texts.unionByName(spark.createDataFrame([("new",)], "text string")))
+    assert sent.read_text().split()[40:] == ["new"]
+
+
+def test_calls_are_dealt_to_all_tasks(spark, tmp_path):
+    make = lambda: lambda text, model: ("", TaskContext.get().partitionId() + 1, 0)
+    texts = spark.range(200).select(F.col("id").cast("string").alias("text"))
+    got = {r["n"] for r in token_counts.counted(texts, "m", Completions(make, str(tmp_path / "log"))).collect()}
+    assert len(got) == spark.sparkContext.defaultParallelism
+    assert {r["n"] for r in token_counts.counted(texts, "m", Completions(make, str(tmp_path / "one"), tasks=1)).collect()} == {1}
+
+
 def test_counts_of_odd_texts(spark, tmp_path):
     texts = spark.createDataFrame([("abcdefgh",), ("ab",), ("",), (None,), ("abcdefgh",)], "text string")
     log = Completions(lambda: lambda text, model: "no numbers", str(tmp_path / "log"))
