@@ -58,10 +58,9 @@ def pack_counted(docs: DataFrame, key: str, size: int, overlap: int, model: str,
     """
     text = F.coalesce("text", F.lit(""))
     pieces = F.flatten(F.transform(chunks.units(text), lambda u: chunks.split_unit(u, size)))
-    rows = docs.select(key, F.array_append(pieces, text).alias("_u"))
-    each = rows.select(key, F.posexplode("_u").alias("at", "text"))
+    rows = store(docs.select(key, text.alias("text"), pieces.alias("_u")), "pieces")
+    each = rows.select(key, F.posexplode(F.array_append("_u", F.col("text"))).alias("at", "text"))
     counts = counted(each.select("text"), model, log)
     found = each.select(key, "at", digest(F.col("text")).alias("digest")).join(counts, "digest")
     listed = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("_n"))  # one number a unit
-    both = docs.select(key, text.alias("text"), pieces.alias("_u")).join(listed, key)
-    return chunks.fold_units(both, key, size, overlap)
+    return chunks.fold_units(rows.join(listed, key), key, size, overlap)

@@ -107,6 +107,15 @@ def test_texts_stay_where_the_log_has_all(spark, tmp_path):
     assert sent.read_text().split()[40:] == ["new"]
 
 
+def test_packing_reads_documents_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: (reads.add(1), t)[1], "string").asNondeterministic()
+    docs = spark.createDataFrame(list(enumerate(_texts(2)[-7:])), "k int, text string").select("k", seen("text").alias("text"))
+    make = lambda: lambda text, model: ("", len(text), 0)
+    got = token_counts.pack_counted(docs, "k", 30, 6, "m", Completions(make, str(tmp_path / "log"))).collect()
+    assert len({r["k"] for r in got}) == 7 and reads.value == 7
+
+
 def test_calls_are_dealt_to_all_tasks(spark, tmp_path):
     make = lambda: lambda text, model: ("", TaskContext.get().partitionId() + 1, 0)
     texts = spark.range(200).select(F.col("id").cast("string").alias("text"))
