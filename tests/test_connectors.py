@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,11 @@ def test_html_and_xml_become_the_markdown_that_is_expected(spark):
     xml = [(1, "<a>p<b>q <c>r</c></b><d/></a>"), (2, "<n:a xmlns:n='u'>x</n:a>"), (3, "<a>"), (4, None)]
     got = {r["k"]: r["text"] for r in files.xml_markdown(spark.createDataFrame(xml, "k int, xml string"), "k", "xml").collect()}
     assert got == {1: "## a\n\npq r\n\n## b\n\nq r\n\n## c\n\nr", 2: "## a\n\nx", 3: None, 4: None}
+
+
+def test_results_of_quick_calls_are_handed_on_together(monkeypatch):
+    rows = pd.DataFrame({"k": range(500)})
+    sizes = lambda: [len(x) for x in model_calls._in_slices(iter([rows, rows[:0], rows[:3]]), lambda r: (r.k,), ["k"], 2)]
+    assert sizes() == [500, 3]
+    monkeypatch.setattr(model_calls, "HELD_SECONDS", -1)
+    assert sizes() == [48] * 10 + [20, 3]
